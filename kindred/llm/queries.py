@@ -19,6 +19,20 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_ids(_read(spark, sf_dir, "result_scores"), "left_id", "right_id", "p", 0.5, _read(spark, sf_dir, "dedupe_clusters"), "id", "cluster_id")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from kindred.llm.copies import copies, letters_digits, line_fields
+
+    def table(name: str, key: str, label: str) -> DataFrame:
+        fields = [letters_digits(F.col(c)) for c in (label, "state", "city", "year")]
+        return copies(_read(spark, sf_dir, name), key, fields, where=fields[0] != "")
+
+    lines = _read(spark, sf_dir, "record_lines")
+    found = [table("compustat_sample", "gvkey", "conm"), table("patent_assignees", "assignee_id", "assignee"), copies(lines, "line_id", [line_fields(F.col("line"))], where=F.col("line").isNotNull())]
+    return found[0].unionByName(found[1]).unionByName(found[2]).select("row_id", "first_id")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kindred.llm.topn import ranked_pairs, top_n
 
@@ -27,6 +41,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_n(scores.unionByName(links), ["list_name", "group_id"], "item_id", ["p", "sim"], "n")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kindred.llm.look import same_look
+
+    return same_look(_read(spark, sf_dir, "compustat_sample"), "gvkey", "conm").unionByName(same_look(_read(spark, sf_dir, "patent_assignees"), "assignee_id", "assignee"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kindred.llm.tokens import encode
 
@@ -61,6 +81,27 @@ WITH s AS (
 SELECT list_name, group_id, item_id FROM r WHERE r <= n
 """
 
+def _canon(x: str) -> str:
+    return rf"lower(upper(regexp_replace(CAST({x} AS VARCHAR), '[^\p{{L}}\p{{N}}]', '', 'g')))"
+
+
+def _table_rows(t: str, key: str, name: str) -> str:
+    form = ", ".join(f"coalesce({_canon(c)}, chr(1))" for c in (name, "state", "city", "year"))
+    return f"SELECT '{t}' AS t, {key} AS row_id, concat_ws(chr(31), {form}) AS form FROM {t} WHERE {_canon(name)} <> ''"
+
+
+_LINES = rf"""
+SELECT 'record_lines' AS t, line_id AS row_id, array_to_string(list_sort(list_filter(
+  CASE WHEN ltrim(line) LIKE '{{%' THEN list_transform(map_entries(CAST(CAST(line AS JSON) AS MAP(VARCHAR, VARCHAR))), lambda e: {_canon("e.key")} || '=' || coalesce({_canon("e.value")}, ''))
+  ELSE list_transform(list_filter(string_split_regex(' ' || line, '\sCOL\s+'), lambda x: trim(x) <> ''),
+    lambda x: {_canon("regexp_extract(x, '^(\S+)\s+VAL', 1)")} || '=' || {_canon("regexp_extract(x, '(?s)^\S+\s+VAL(.*)$', 1)")}) END,
+  lambda x: x NOT LIKE '%=')), chr(30)) AS form FROM record_lines WHERE line IS NOT NULL
+"""
+P3_SQL = (
+    f"WITH r AS ({_table_rows('compustat_sample', 'gvkey', 'conm')} UNION ALL {_table_rows('patent_assignees', 'assignee_id', 'assignee')} UNION ALL {_LINES})"
+    " SELECT row_id, first_id FROM (SELECT row_id, min(row_id) OVER w AS first_id, count(*) OVER w AS n FROM r WINDOW w AS (PARTITION BY t, form)) WHERE n > 1"
+)
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p5_found": P5_SQL}
+    return {"p1_found": P1_SQL, "p3_found": P3_SQL, "p5_found": P5_SQL}
