@@ -53,6 +53,12 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_read(spark, sf_dir, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kindred.llm.leaks import leaks
+
+    return leaks(_read(spark, sf_dir, "documents"), "doc_id", "text", _read(spark, sf_dir, "eval_items"), "item_id", "text")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("p") and k[1:2].isdigit() and callable(v)}
 
