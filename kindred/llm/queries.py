@@ -59,6 +59,16 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_read(spark, sf_dir, "documents"), "doc_id", "text", _read(spark, sf_dir, "eval_items"), "item_id", "text")
 
 
+def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kindred.llm.reading import reading_levels
+
+    return reading_levels(_read(spark, sf_dir, "documents"), "doc_id", "text", "lang", _read(spark, sf_dir, "reading_labels"), "doc_id", "band", ["easy", "plain", "hard", "advanced"])
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_levels(spark, sf_dir).where("prose and level = 'advanced'").select("doc_id").distinct()
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("p") and k[1:2].isdigit() and callable(v)}
 
