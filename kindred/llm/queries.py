@@ -33,6 +33,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found[0].unionByName(found[1]).unionByName(found[2]).select("row_id", "first_id")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kindred.llm.entities import profiles, same_entity, variants
+    from kindred.scratch import Scratch
+
+    scratch = Scratch(spark, "variants")
+    rows = profiles(_read(spark, sf_dir, "compustat_sample"), "c", "gvkey", "conm").unionByName(profiles(_read(spark, sf_dir, "patent_assignees"), "a", "assignee_id", "assignee"))
+    return variants(same_entity(rows, scratch))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kindred.llm.topn import ranked_pairs, top_n
 
