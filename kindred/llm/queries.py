@@ -19,6 +19,23 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_ids(_read(spark, sf_dir, "result_scores"), "left_id", "right_id", "p", 0.5, _read(spark, sf_dir, "dedupe_clusters"), "id", "cluster_id")
 
 
+def _firms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kindred.llm.entities import profiles
+
+    return profiles(_read(spark, sf_dir, "compustat_sample"), "c", "gvkey", "conm").unionByName(profiles(_read(spark, sf_dir, "patent_assignees"), "a", "assignee_id", "assignee"))
+
+
+def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kindred.llm.linkage import link
+    from kindred.scratch import Scratch
+
+    return link(_firms(spark, sf_dir), "c", "a", Scratch(spark, "linkage")).withColumnsRenamed({"left_id": "gvkey", "right_id": "assignee_id"})
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_links(spark, sf_dir).select("gvkey", "assignee_id")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -34,12 +51,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from kindred.llm.entities import profiles, same_entity, variants
+    from kindred.llm.entities import same_entity, variants
     from kindred.scratch import Scratch
 
-    scratch = Scratch(spark, "variants")
-    rows = profiles(_read(spark, sf_dir, "compustat_sample"), "c", "gvkey", "conm").unionByName(profiles(_read(spark, sf_dir, "patent_assignees"), "a", "assignee_id", "assignee"))
-    return variants(same_entity(rows, scratch))
+    return variants(same_entity(_firms(spark, sf_dir), Scratch(spark, "variants")))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
