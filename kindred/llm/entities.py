@@ -78,8 +78,10 @@ def candidates(profs: DataFrame, scratch: Scratch, across: tuple[str, str] | Non
     score, strong = evidence("a_", "b_")
     sides = F.lit(True) if across else F.col("a_tab") == F.col("b_tab")
     pair = ["a_p", "b_p", "a_nc", "b_nc", "score", "strong"]
+    # the exploded sides are larger than size estimates say: never broadcast them
+    b = b.hint("merge")
     same = a.join(b, ["stem", "key"])
-    other = a.withColumnRenamed("stem", "a").join(near, "a").withColumnRenamed("b", "stem").drop("a").join(b, ["stem", "key"])
+    other = a.withColumnRenamed("stem", "a").hint("merge").join(near, "a").withColumnRenamed("b", "stem").drop("a").join(b, ["stem", "key"])
     met = same.unionByName(other.select(same.columns)).where(sides & (F.lit(True) if across else F.col("a_p") != F.col("b_p"))).withColumn("score", score).withColumn("strong", strong).where("score >= -1 and (score >= 1 or a_nc = b_nc)")
     if not across:  # the key of equal names is given to one side only, so such a pair may come in one order
         first = F.col("a_p") < F.col("b_p")

@@ -63,7 +63,8 @@ def radius_join(strings: DataFrame, col: str) -> DataFrame:
     cells = F.transform(F.filter("far", lambda x: x["d"] <= home["d"] + 2 * REACH), lambda x: x["i"])
     seek = src.select(s.alias("b"), F.explode(F.array_distinct(F.array(*probes))).alias("key"), cells.alias("cells")).select("b", "key", F.explode("cells").alias("cell"))
     near = F.levenshtein(F.col("a"), F.col("b"), REACH)
-    met = held.join(seek, ["cell", "key"]).where("a <> b").where((near >= 0) & (near <= allowed(F.col("a"), F.col("b")))).select("a", "b").distinct()
+    # the keys are many times the strings they come from, which size estimates do not see: never broadcast them
+    met = held.join(seek.hint("merge"), ["cell", "key"]).where("a <> b").where((near >= 0) & (near <= allowed(F.col("a"), F.col("b")))).select("a", "b").distinct()
     return met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
@@ -71,5 +72,5 @@ def prefixes(strings: DataFrame, col: str, least: int = 5) -> DataFrame:
     """(a, b) of all pairs of strings of which one starts with the other, in both orders; the shorter has ``least`` letters or more."""
     src = strings.select(F.col(col).alias("a")).where(F.length("a") >= least).distinct()
     starts = src.where(F.length("a") > least).select(F.col("a").alias("b"), F.explode(F.transform(F.sequence(F.lit(least), F.length("a") - 1), lambda n: F.substring("a", F.lit(1), n))).alias("a"))
-    met = starts.join(src, "a").select("a", "b")
+    met = starts.hint("merge").join(src, "a").select("a", "b")
     return met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b")))
