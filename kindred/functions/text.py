@@ -96,26 +96,43 @@ def text_grams(c: Column, low: int, high: int) -> Column:
     return F.concat(*parts)
 
 
+def _bytes(a: str, b: str) -> tuple[bytes, bytes]:
+    """Both texts with one byte a character, so that searching runs in C; rarer alphabets get numbers of their own."""
+    try:
+        return a.encode("latin-1"), b.encode("latin-1")
+    except UnicodeEncodeError:
+        code = {c: i for i, c in enumerate(dict.fromkeys(a + b), 1)}
+        if len(code) > 255:
+            return tuple(code[c].to_bytes(4, "big") for c in a), tuple(code[c].to_bytes(4, "big") for c in b)
+        return bytes(code[c] for c in a), bytes(code[c] for c in b)
+
+
 def _jaro_winkler(a: str, b: str) -> float:
     if a == b:
         return 1.0
     if not a or not b:
         return 0.0
-    reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    taken, mine = [False] * len(b), []
-    for i, x in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not taken[j] and b[j] == x:
-                taken[j] = True
-                mine.append(x)
-                break
+    x, y = _bytes(a, b)
+    reach = max(max(len(x), len(y)) // 2 - 1, 0)
+    if isinstance(x, tuple):
+        left, find = list(y), lambda c, lo, hi: next((j for j in range(lo, min(hi, len(y))) if left[j] == c), -1)
+    else:
+        left = bytearray(y)
+        find = left.find
+    used, mine = [], []
+    for i, c in enumerate(x):
+        j = find(c, i - reach if i > reach else 0, i + reach + 1)
+        if j >= 0:
+            left[j] = 0 if not isinstance(x, tuple) else None
+            used.append(j)
+            mine.append(c)
     if not mine:
         return 0.0
-    theirs = [y for y, t in zip(b, taken) if t]
-    m, swaps = len(mine), sum(x != y for x, y in zip(mine, theirs)) // 2
-    jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
+    used.sort()
+    m, swaps = len(mine), sum(c != y[j] for c, j in zip(mine, used)) // 2
+    jaro = (m / len(x) + m / len(y) + (m - swaps) / m) / 3
     prefix = 0
-    while prefix < min(4, len(a), len(b)) and a[prefix] == b[prefix]:
+    while prefix < min(4, len(x), len(y)) and x[prefix] == y[prefix]:
         prefix += 1
     return jaro + prefix * 0.1 * (1 - jaro) if jaro > 0.7 else jaro
 

@@ -11,7 +11,7 @@ from kindred.fields import parse_on
 from kindred.functions.text import jaro_winkler, normalize, record_text
 from kindred.operators.components import connected_components
 from kindred.operators.resolve import probability, resolve
-from kindred.operators.vectors import gram_weights, text_cosines
+from kindred.operators.vectors import gram_weights, nearest_texts
 from kindred.scratch import Scratch
 
 
@@ -44,9 +44,10 @@ def jaro_winkler_matches(left: DataFrame, right: DataFrame, *, on, left_id: str,
 def tfidf_matches(left: DataFrame, right: DataFrame, *, on, left_id: str, right_id: str, grams: tuple[int, int] = (2, 4)) -> DataFrame:
     """Each left record's best right by cosine of TF-IDF n-grams over the whole text."""
     a, b = _texts(left, right, on, left_id, right_id)
-    lw, rw = gram_weights(a.withColumnsRenamed({"left_id": "id", "lt": "text"}), b.withColumnsRenamed({"right_id": "id", "rt": "text"}), *grams, whole_text=True)
+    x, y = a.withColumnsRenamed({"left_id": "id", "lt": "text"}), b.withColumnsRenamed({"right_id": "id", "rt": "text"})
+    lw, rw = gram_weights(x, y, *grams, whole_text=True, scratch=Scratch(left.sparkSession, "tfidf"))
     few = b.groupBy("rt").agg(F.min("right_id").alias("right_id"))
-    sims = text_cosines(lw, rw).join(few, "rt").select("lt", "right_id", "sim")
+    sims = nearest_texts(x, y, lw, rw, 1, 0.0).join(few, "rt").select("lt", "right_id", "sim")
     return _best(a.join(sims, "lt"))
 
 

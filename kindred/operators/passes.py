@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 
 from kindred.fields import Field, check_columns, parse_on
 from kindred.functions.text import acronym_keys, key_text, normalize, record_text, strptime_pattern
-from kindred.operators.vectors import gram_weights, nearest, text_cosines
+from kindred.operators.vectors import gram_weights, nearest, nearest_texts
+from kindred.scratch import Scratch
 
 # Microseconds of the units of time.
 UNITS = {"weeks": 604_800_000_000, "days": 86_400_000_000, "hours": 3_600_000_000, "minutes": 60_000_000, "seconds": 1_000_000}
@@ -145,8 +146,9 @@ class NGrams(Pass):
         g = list(groups)
         a = left.select(F.col("_id").alias("id"), record_text([f.left for f in self.fields]).alias("text"), *g)
         b = right.select(F.col("_id").alias("id"), record_text([f.right for f in self.fields]).alias("text"), *g)
-        lw, rw = gram_weights(a, b, *self.n, g)
-        return nearest(a, b, text_cosines(lw, rw, g), self.k, self.min_sim, self.reverse, g)
+        lw, rw = gram_weights(a, b, *self.n, g, scratch=Scratch(left.sparkSession, "ngrams"))
+        cosines = nearest_texts(b, a, rw, lw, self.k, self.min_sim, g) if self.reverse else nearest_texts(a, b, lw, rw, self.k, self.min_sim, g)
+        return nearest(a, b, cosines, self.k, self.min_sim, self.reverse, g)
 
 
 @dataclass

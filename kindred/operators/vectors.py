@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions.text import text_grams, word_grams
+from kindred.scratch import Scratch
 
 #: Cosines are rounded to this many places before ranking, since float sums depend on the order of rows.
 PLACES = 12
@@ -17,7 +18,7 @@ def clip_cosine(c: Column) -> Column:
     return F.when(F.abs(c - 1) <= 1e-11, F.lit(1.0)).otherwise(c)
 
 
-def gram_weights(left: DataFrame, right: DataFrame, low: int, high: int, groups: list[str] = (), whole_text: bool = False) -> tuple[DataFrame, DataFrame]:
+def gram_weights(left: DataFrame, right: DataFrame, low: int, high: int, groups: list[str] = (), whole_text: bool = False, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """Unit TF-IDF vectors of two sides fitted on both together: (text, groups, gram, w) of each side's distinct texts.
 
     Sides have (id, text, *groups). Inverse document frequencies are ln((1 + N) / (1 + df)) + 1 over all rows of a group, repeated
@@ -36,6 +37,8 @@ def gram_weights(left: DataFrame, right: DataFrame, low: int, high: int, groups:
     raw = tf.join(df.select("gram", *g, idf.alias("_idf")), ["gram", *g]).withColumn("_w", F.col("tf") * F.col("_idf"))
     norm = raw.groupBy("text", *g).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
     unit = raw.join(norm, ["text", *g]).select("text", *g, "gram", (F.col("_w") / F.col("_norm")).alias("w"), "_l", "_r")
+    if scratch:  # both sides read one written table instead of making all vectors twice
+        unit = scratch.cut(unit)
     return unit.where("_l").drop("_l", "_r"), unit.where("_r").drop("_l", "_r")
 
 
@@ -46,15 +49,79 @@ def text_cosines(lw: DataFrame, rw: DataFrame, groups: list[str] = ()) -> DataFr
     return a.join(b, ["gram", *g]).groupBy("lt", "rt", *g).agg(clip_cosine(F.sum(F.col("wl") * F.col("wr"))).alias("sim"))
 
 
+#: Texts of one block of the searched side: its postings (about 60 grams a text) stay near 50 MB on an executor and on the driver.
+BLOCK = 50_000
+
+
+def nearest_texts(left: DataFrame, right: DataFrame, lw: DataFrame, rw: DataFrame, k: int, min_sim: float, groups: list[str] = (), block: int = BLOCK) -> DataFrame:
+    """(lt, rt, groups, sim) of at least the texts that can hold a left text's k best rows, exactly.
+
+    Common grams make nearly all pairs share something, so joining postings would write out a table of nearly all pairs. Instead the
+    searched side travels in blocks of a fixed number of texts as an inverted index of arrays, and every left text adds up its
+    grams' postings in place and keeps the best k of the block, ties by the text's smallest ID: work like a sparse product, a
+    result of k rows a text and block, and only distinct texts with their vectors move. Grams are known by their 64-bit hash.
+    """
+    import numpy as np
+    import pandas as pd
+
+    g = list(groups)
+    vector = F.array_sort(F.collect_list(F.struct(F.xxhash64("gram", *g).alias("h"), F.col("w"))))  # one text's grams
+    pack = lambda d: d.groupBy("text", *g).agg(vector.alias("v")).select("text", *g, F.col("v.h").alias("h"), F.col("v.w").alias("w"))
+    first = right.groupBy("text", *g).agg(F.min("id").alias("first"))
+    a, b = pack(lw), pack(rw).join(first, ["text", *g])
+    count = first.count()
+    blocks = max(1, -(-count // block))
+    schema = ", ".join(["lt string", *(f"`{x}` string" for x in g), "rt string", "sim double"])
+    parts = []
+    for n in range(blocks):
+        rows = (b if blocks == 1 else b.where(F.pmod(F.xxhash64("text", *g), F.lit(blocks)) == n)).orderBy("first", "text").toPandas()
+        sizes = rows["h"].map(len).to_numpy(dtype=np.int64) if len(rows) else np.empty(0, np.int64)
+        hashes = np.concatenate([*map(np.asarray, rows["h"])]).astype(np.int64) if len(rows) else np.empty(0, np.int64)
+        weights = np.concatenate([*map(np.asarray, rows["w"])]).astype(np.float64) if len(rows) else np.empty(0)
+        owner = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+        order = np.argsort(hashes, kind="stable")
+        known, start = np.unique(hashes[order], return_index=True)
+        shared = left.sparkSession.sparkContext.broadcast((rows["text"].to_numpy(), known, np.append(start, len(hashes)), owner[order], weights[order]))
+
+        def search(batches, shared=shared):
+            texts, known, start, owner, weights = shared.value
+            total = np.zeros(len(texts))
+            for batch in batches:
+                out = []
+                for text, *mine, h, w in zip(*(batch[c] for c in ("text", *g, "h", "w"))):
+                    if not len(known):
+                        break
+                    total[:] = 0
+                    h, w = np.asarray(h), np.asarray(w)
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    for i in np.flatnonzero(known[at] == h):
+                        lo, hi = start[at[i]], start[at[i] + 1]
+                        total[owner[lo:hi]] += w[i] * weights[lo:hi]
+                    sims = np.round(total, PLACES)
+                    ok = np.flatnonzero((sims >= min_sim) & (sims > 0))
+                    if len(ok) > k:
+                        edge = np.partition(sims[ok], len(ok) - k)[len(ok) - k]
+                        ok = ok[sims[ok] >= edge]
+                        ok = ok[np.argsort(-sims[ok], kind="stable")][:k]
+                    out += [(text, *mine, texts[j], float(sims[j])) for j in ok]
+                yield pd.DataFrame(out, columns=["lt", *g, "rt", "sim"])
+
+        parts.append(a.mapInPandas(search, schema))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.withColumn("sim", clip_cosine(F.col("sim")))
+
+
 def nearest(left: DataFrame, right: DataFrame, cosines: DataFrame, k: int, min_sim: float, reverse: bool, groups: list[str] = ()) -> DataFrame:
-    """(l, r) of the k best partners of every record: by sim, then the smaller ID. ``reverse`` ranks lefts for every right.
+    """(l, r) of the k best partners of every record: by sim, then the smaller ID. ``reverse`` ranks lefts for every right; cosines then
+    have right texts as lt.
 
     Ranking runs on distinct texts first: of a text's rows only the k smallest IDs can be among the k best of anybody. With
     min_sim 0 the places left over go to the smallest IDs, blank texts included.
     """
     g = list(groups)
     if reverse:
-        cosines = cosines.select(F.col("rt").alias("lt"), F.col("lt").alias("rt"), *g, "sim")
         left, right = right, left
     least = Window.partitionBy("text", *g).orderBy("id")
     few = right.withColumn("_n", F.row_number().over(least)).where(F.col("_n") <= k).select(F.col("text").alias("rt"), F.col("id").alias("r"), *g)

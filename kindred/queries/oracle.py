@@ -17,6 +17,16 @@ def key(x: str) -> str:
     return norm(rf"regexp_replace(regexp_replace({x}, '^\s+|\s+$', '', 'g'), '^([+-]?[0-9]+)\.0+$', '\1')")
 
 
+#: DuckDB compares bytes where names are compared by characters: other letters are exchanged for unused single bytes first.
+_OTHER = "ø" + "".join(map(chr, range(0x430, 0x450))) + "ѕіјһԝԁӏѵ" + "".join(map(chr, range(0x3B1, 0x3CA)))
+_BYTES = "".join(chr(c) for c in range(1, 127) if not chr(c).islower() and not chr(c).isdigit() and chr(c) not in " '")[: len(_OTHER)]
+
+
+def jw(x: str, y: str) -> str:
+    one = lambda v: "translate(" + v + ", '" + _OTHER + "', " + " || ".join(f"chr({ord(c)})" for c in _BYTES) + ")"
+    return f"jaro_winkler_similarity({one(x)}, {one(y)})"
+
+
 def _with(*names: str) -> str:
     """The named common tables and all that they need."""
     need: list[str] = []
@@ -163,7 +173,7 @@ SQL: dict[str, str] = {
     "word_ngrams": f"SELECT gram, count(*) AS n, count(DISTINCT gvkey) AS firms FROM (SELECT gvkey, unnest({_grams('n', 2, 4)}) AS gram FROM (SELECT gvkey, {norm('conm')} AS n FROM {_F})) GROUP BY 1",
     "text_ngrams": f"SELECT gram, count(*) AS n FROM (SELECT unnest(CASE WHEN length(n) >= 3 THEN list_transform(range(1, length(n) - 1), lambda i: substr(n, CAST(i AS INT), 3)) ELSE [] END) AS gram FROM (SELECT {norm('conm')} AS n FROM {_F})) GROUP BY 1",
     "tfidf_weights": _with("tn_unit") + "SELECT text, gram, round(w, 6) AS w FROM tn_unit WHERE l = 1",
-    "name_similarity": f"SELECT left_id, right_id, round(CASE WHEN a = '' OR b = '' THEN CASE WHEN a = b THEN 1.0 ELSE 0.0 END ELSE jaro_winkler_similarity(a, b) END, 6) AS jw FROM (SELECT DISTINCT left_id, right_id FROM result_scores) JOIN (SELECT gvkey AS left_id, {norm('conm')} AS a FROM {_F}) USING (left_id) JOIN (SELECT assignee_id AS right_id, {norm('assignee')} AS b FROM {_A}) USING (right_id)",
+    "name_similarity": f"SELECT left_id, right_id, round(CASE WHEN a = '' OR b = '' THEN CASE WHEN a = b THEN 1.0 ELSE 0.0 END ELSE {jw('a', 'b')} END, 6) AS jw FROM (SELECT DISTINCT left_id, right_id FROM result_scores) JOIN (SELECT gvkey AS left_id, {norm('conm')} AS a FROM {_F}) USING (left_id) JOIN (SELECT assignee_id AS right_id, {norm('assignee')} AS b FROM {_A}) USING (right_id)",
     "guarded_cells": rf"SELECT assignee_id, CASE WHEN regexp_matches(ltrim(assignee), '^[=+\-@]') OR regexp_matches(assignee, '^[\t\r]') THEN '''' || assignee ELSE assignee END AS cell FROM {_A}",
     "parsed_lines": "SELECT line_id, " + ", ".join(rf"CASE WHEN ltrim(line) LIKE '{{%' THEN CASE WHEN length(trim({_JSONV.format(c)})) > 0 THEN {_JSONV.format(c)} END ELSE {_COLV.format(c)} END AS {c}" for c in ("conm", "assignee", "state", "city", "year")) + " FROM record_lines",
     "block_exact": _with("f", "a") + "SELECT gvkey AS left_id, assignee_id AS right_id FROM f JOIN a USING (kn) WHERE kn <> ''",
@@ -235,20 +245,20 @@ SQL: dict[str, str] = {
     "recall_by_source": _with("s", "t") + "SELECT block, count(*) AS pairs, count(u.left_id) AS true_pairs FROM s LEFT JOIN (SELECT DISTINCT * FROM t) u USING (left_id, right_id) GROUP BY 1",
     "diagnose_errors": _with("s", "t", "l") + "SELECT CASE WHEN u.k IS NOT NULL AND s.p IS NULL AND NOT EXISTS (SELECT 1 FROM s z WHERE z.left_id = x.left_id AND z.right_id = x.right_id) THEN 'retrieval_miss' WHEN u.k IS NOT NULL AND m.k IS NULL THEN 'false_negative' ELSE 'false_positive' END AS kind, x.left_id, x.right_id FROM (SELECT left_id, right_id FROM t UNION SELECT left_id, right_id FROM l) x LEFT JOIN (SELECT DISTINCT *, 1 AS k FROM t) u USING (left_id, right_id) LEFT JOIN (SELECT *, 1 AS k FROM l) m USING (left_id, right_id) LEFT JOIN s USING (left_id, right_id) WHERE (u.k IS NOT NULL AND (m.k IS NULL OR NOT EXISTS (SELECT 1 FROM s z WHERE z.left_id = x.left_id AND z.right_id = x.right_id))) OR (u.k IS NULL AND m.k IS NOT NULL)",
     "baseline_exact": f"SELECT gvkey AS left_id, assignee_id AS right_id, 1.0 AS sim FROM (SELECT gvkey, {norm('conm')} AS n FROM {_F}) JOIN (SELECT assignee_id, {norm('assignee')} AS n FROM {_A}) USING (n) WHERE n <> ''",
-    "baseline_jaro_winkler": f"SELECT left_id, right_id, round(sim, 6) AS sim FROM (SELECT gvkey AS left_id, assignee_id AS right_id, round(jaro_winkler_similarity(x.n, y.n), 12) AS sim FROM (SELECT gvkey, {norm('conm')} AS n FROM {_F}) x JOIN (SELECT assignee_id, {norm('assignee')} AS n FROM {_A}) y ON x.n[1] = y.n[1] WHERE x.n <> '' AND y.n <> '') QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY sim DESC, right_id) = 1",
+    "baseline_jaro_winkler": f"SELECT left_id, right_id, round(sim, 6) AS sim FROM (SELECT gvkey AS left_id, assignee_id AS right_id, round({jw('x.n', 'y.n')}, 12) AS sim FROM (SELECT gvkey, {norm('conm')} AS n FROM {_F}) x JOIN (SELECT assignee_id, {norm('assignee')} AS n FROM {_A}) y ON x.n[1] = y.n[1] WHERE x.n <> '' AND y.n <> '') QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY sim DESC, right_id) = 1",
     "baseline_tfidf": _with("tw_cos", "f", "a") + f"SELECT l.gvkey AS left_id, r.assignee_id AS right_id, round(c.sim, 6) AS sim FROM tw_cos c JOIN f l ON {_LN} = c.lt JOIN a r ON {_RN} = c.rt QUALIFY row_number() OVER (PARTITION BY l.gvkey ORDER BY c.sim DESC, r.assignee_id) = 1",
     "tune_threshold": _with("s", "t").rstrip() + """, u AS (SELECT DISTINCT * FROM t), g AS (SELECT sim, count(*) AS n, count(u.left_id) AS good FROM s LEFT JOIN u USING (left_id, right_id) GROUP BY 1), r AS (SELECT sim, sum(n) OVER o AS links, sum(good) OVER o AS tp, (SELECT count(*) FROM u) AS nt FROM g WINDOW o AS (ORDER BY sim DESC))
       SELECT sim AS threshold, CAST(links AS BIGINT) AS links, CAST(tp AS BIGINT) AS tp, round(tp / links, 6) AS precision, round(tp / nt, 6) AS recall, round(2 * tp / (links + nt), 6) AS f1 FROM r ORDER BY 2 * tp / (links + nt) DESC, links LIMIT 1""",
     "threshold_sweep": _with("s", "t").rstrip() + """, u AS (SELECT DISTINCT * FROM t), b AS (SELECT * FROM s WHERE p >= 0 QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY p DESC, sim DESC, right_id) = 1), g AS (SELECT round(0.05 * range, 2) AS threshold FROM range(21)), c AS (SELECT threshold, count(b.left_id) AS links, count(u.left_id) AS tp FROM g LEFT JOIN b ON b.p >= threshold LEFT JOIN u USING (left_id, right_id) GROUP BY 1)
       SELECT threshold, links, tp, round(CASE WHEN links > 0 THEN tp / links END, 6) AS precision, round(CASE WHEN nt > 0 THEN tp / nt END, 6) AS recall, round(CASE WHEN links + nt > 0 THEN 2 * tp / (links + nt) END, 6) AS f1 FROM c, (SELECT count(*) AS nt FROM u)""",
     "string_scores": _with("s") + f"SELECT left_id, right_id, CASE WHEN {norm('conm')} <> '' AND {norm('conm')} = {norm('assignee')} THEN 1.0 ELSE 0.0 END AS p FROM s JOIN {_F} ON gvkey = left_id JOIN {_A} ON assignee_id = right_id",
-    "ecm_patterns": _with("s") + "SELECT g0, g1, g2, count(*) AS n FROM (SELECT " + ", ".join(f"CASE WHEN {x} <> '' AND {y} <> '' AND jaro_winkler_similarity({x}, {y}) >= 0.9 THEN 1 ELSE 0 END AS g{i}" for i, (x, y) in enumerate(((norm("conm"), norm("assignee")), (norm("x.state"), norm("y.state")), (norm("x.city"), norm("y.city"))))) + f" FROM s JOIN {_F} x ON gvkey = left_id JOIN {_A} y ON assignee_id = right_id) GROUP BY 1, 2, 3",
+    "ecm_patterns": _with("s") + "SELECT g0, g1, g2, count(*) AS n FROM (SELECT " + ", ".join(f"CASE WHEN {x} <> '' AND {y} <> '' AND {jw(x, y)} >= 0.9 THEN 1 ELSE 0 END AS g{i}" for i, (x, y) in enumerate(((norm("conm"), norm("assignee")), (norm("x.state"), norm("y.state")), (norm("x.city"), norm("y.city"))))) + f" FROM s JOIN {_F} x ON gvkey = left_id JOIN {_A} y ON assignee_id = right_id) GROUP BY 1, 2, 3",
     "entity_split": _with("t").rstrip() + ",\n" + _SPLIT_EDGES + " SELECT side, id, CASE WHEN k <= floor(0.3 * n) THEN 'dev' ELSE 'test' END AS part FROM recs JOIN comp USING (node) JOIN rk USING (component)",
     "unmatched_right": _with("t").rstrip() + f", k AS (SELECT right_id, row_number() OVER (ORDER BY md5('0|' || left_id || '|' || right_id), left_id, right_id) AS k, floor(count(*) OVER () * 0.25) AS m FROM (SELECT DISTINCT * FROM t)) SELECT assignee_id FROM {_A} WHERE assignee_id NOT IN (SELECT right_id FROM k WHERE k <= m)",
     "canonical_names": _with("c").rstrip() + f", n AS (SELECT cluster_id, assignee AS s, count(*) AS k FROM {_A} JOIN c ON id = assignee_id WHERE assignee IS NOT NULL GROUP BY 1, 2) SELECT cluster_id, arg_min(s, (-k, s)) AS canonical, string_agg(s, ' | ' ORDER BY s) AS aliases FROM n GROUP BY 1",
     "judge_agreement": """WITH j AS (SELECT left_id, right_id, max(p) FILTER (model = 'small-a' AND NOT isnan(p)) AS pa, max(p) FILTER (model = 'small-b' AND NOT isnan(p)) AS pb FROM result_scores GROUP BY 1, 2), m AS (SELECT *, pa >= 0.5 AS ya, pb >= 0.5 AS yb FROM j WHERE pa IS NOT NULL AND pb IS NOT NULL),
       r AS (SELECT *, rank() OVER (ORDER BY pa) + (count(*) OVER (PARTITION BY pa) - 1) / 2 AS ra, rank() OVER (ORDER BY pb) + (count(*) OVER (PARTITION BY pb) - 1) / 2 AS rb FROM m), g AS (SELECT count(*) FILTER (ya AND yb) AS both_yes, count(*) FILTER (ya AND NOT yb) AS only_a, count(*) FILTER (yb AND NOT ya) AS only_b, count(*) FILTER (NOT ya AND NOT yb) AS both_no, count(*) AS n, corr(ra, rb) AS sp FROM r),
-      k AS (SELECT *, (both_yes + both_no) / n AS ag, ((both_yes + only_a) * (both_yes + only_b) + (both_no + only_a) * (both_no + only_b)) / (n * n) AS ch FROM g) SELECT both_yes, only_a, only_b, both_no, round(ag, 6) AS agreement, round(CASE WHEN ch < 1 THEN (ag - ch) / (1 - ch) END, 6) AS kappa, CASE WHEN isfinite(sp) THEN round(sp, 6) END AS spearman FROM k""",
+      k AS (SELECT *, (both_yes + both_no) / n AS ag, ((both_yes + only_a) * (both_yes + only_b) + (both_no + only_a) * (both_no + only_b)) / (n * n) AS ch FROM g) SELECT both_yes, only_a, only_b, both_no, CASE WHEN n > 0 THEN round(ag, 6) END AS agreement, round(CASE WHEN ch < 1 THEN (ag - ch) / (1 - ch) END, 6) AS kappa, CASE WHEN isfinite(sp) THEN round(sp, 6) END AS spearman FROM k""",
     "mixed_labels": _with("pt") + "SELECT lt, rt, count(*) AS n, sum(y) AS yes FROM pt GROUP BY 1, 2 HAVING sum(y) > 0 AND sum(y) < count(*)",
     "text_ceiling": _with("pt") + "SELECT CAST(sum(greatest(yes, n - yes)) AS BIGINT) AS ceiling, CAST(sum(n) AS BIGINT) AS pairs FROM (SELECT lt, rt, count(*) AS n, sum(y) AS yes FROM pt GROUP BY 1, 2)",
     "hardest_negatives": _with("s", "t") + "SELECT left_id, right_id, row_number() OVER (PARTITION BY left_id ORDER BY sim DESC, right_id) AS rank FROM s WHERE left_id IN (SELECT left_id FROM t) AND NOT EXISTS (SELECT 1 FROM t WHERE t.left_id = s.left_id AND t.right_id = s.right_id) QUALIFY rank <= 3",
