@@ -31,8 +31,8 @@ PROBES = 2
 
 
 def letters_digits(c: Column) -> Column:
-    """Letters and digits only, in one case; null stays null."""
-    return F.lower(F.upper(F.regexp_replace(c.cast("string"), r"[^\p{L}\p{N}]", "")))
+    """Letters and digits only, in one case, the capital form of ß being SS; null stays null."""
+    return F.replace(F.lower(F.upper(F.regexp_replace(c.cast("string"), r"[^\p{L}\p{N}]", ""))), F.lit("ß"), F.lit("ss"))
 
 
 def _places(h: np.ndarray, bits: int) -> np.ndarray:

@@ -122,7 +122,7 @@ SELECT list_name, group_id, item_id FROM r WHERE r <= n
 """
 
 def _canon(x: str) -> str:
-    return rf"lower(upper(regexp_replace(CAST({x} AS VARCHAR), '[^\p{{L}}\p{{N}}]', '', 'g')))"
+    return rf"replace(lower(upper(regexp_replace(CAST({x} AS VARCHAR), '[^\p{{L}}\p{{N}}]', '', 'g'))), 'ß', 'ss')"
 
 
 def _table_rows(t: str, key: str, name: str) -> str:
