@@ -12,6 +12,7 @@ from kindred.functions.text import jaro_winkler, normalize, record_text
 from kindred.operators.components import connected_components
 from kindred.operators.resolve import probability, resolve
 from kindred.operators.vectors import gram_weights, nearest_texts
+from kindred.ranking import place, running_sum
 from kindred.scratch import Scratch
 
 
@@ -67,8 +68,9 @@ def tune_threshold(scored: DataFrame, truth: DataFrame) -> DataFrame:
     Counts are taken by distinct score first, so the running sums see one row a score."""
     t = truth.select("left_id", "right_id").distinct().withColumn("_t", F.lit(1))
     by = scored.select("left_id", "right_id", "sim").distinct().join(t, ["left_id", "right_id"], "left").groupBy("sim").agg(F.count(F.lit(1)).alias("n"), F.count("_t").alias("good"))
-    w = Window.orderBy(F.desc("sim")).rowsBetween(Window.unboundedPreceding, 0)
-    run = by.select("sim", F.sum("n").over(w).alias("links"), F.sum("good").over(w).alias("tp")).crossJoin(t.agg(F.count(F.lit(1)).alias("truth")))  # one row
+    scratch = Scratch(scored.sparkSession, "tune")
+    by = running_sum(by.withColumn("_d", -F.col("sim")), ["_d"], F.col("n"), "links", scratch)
+    run = running_sum(by, ["_d"], F.col("good"), "tp", scratch).select("sim", "links", "tp").crossJoin(t.agg(F.count(F.lit(1)).alias("truth")))  # one row
     f1 = 2 * F.col("tp") / (F.col("links") + F.col("truth"))
     best = run.withColumn("f1", f1).orderBy(F.desc("f1"), "links").limit(1)
     return best.select(F.col("sim").alias("threshold"), "links", "tp", (F.col("tp") / F.col("links")).alias("precision"), F.when(F.col("truth") > 0, F.col("tp") / F.col("truth")).alias("recall"), "f1")
@@ -143,7 +145,7 @@ def entity_split(left: DataFrame, right: DataFrame, truth: DataFrame, *, on, lef
     edges = truth.select(node("l", "left_id").alias("a"), node("r", "right_id").alias("b")).unionByName(recs.where("text <> ''").select(F.col("node").alias("a"), F.concat(F.lit("t"), F.sha2("text", 256)).alias("b")))
     comp = connected_components(edges, "a", "b", recs, "node", scratch)
     groups = recs.join(comp, "node").groupBy("component").agg(F.min("node").alias("least"))
-    ranked = groups.withColumn("_k", F.row_number().over(Window.orderBy(F.sha2(F.concat_ws("|", F.lit(str(seed)), "least"), 256), "least"))).crossJoin(groups.agg(F.count(F.lit(1)).alias("_n")))  # one row
+    ranked = place(groups.withColumn("_h", F.sha2(F.concat_ws("|", F.lit(str(seed)), "least"), 256)), ["_h", "least"], "_k", scratch).crossJoin(groups.agg(F.count(F.lit(1)).alias("_n")))  # one row
     part = F.when(F.col("_k") <= F.floor(F.lit(dev_fraction) * F.col("_n")), "dev").otherwise("test")
     return recs.join(comp, "node").join(ranked.select("component", part.alias("part")), "component").select("side", "id", "part")
 
@@ -151,7 +153,8 @@ def entity_split(left: DataFrame, right: DataFrame, truth: DataFrame, *, on, lef
 def make_unmatched(right: DataFrame, truth: DataFrame, right_id: str, share: float, seed: int = 0) -> DataFrame:
     """The right table without the counterparts of a hash-ordered share of the true pairs."""
     t = truth.select("left_id", "right_id").distinct()
-    k = t.withColumn("_k", F.row_number().over(Window.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "left_id", "right_id")), "left_id", "right_id"))).crossJoin(t.agg(F.floor(F.count(F.lit(1)) * share).alias("_m")))  # one row
+    scratch = Scratch(right.sparkSession, "unmatched")
+    k = place(t.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), "left_id", "right_id"))), ["_h", "left_id", "right_id"], "_k", scratch).crossJoin(t.agg(F.floor(F.count(F.lit(1)) * share).alias("_m")))  # one row
     return right.join(k.where("_k <= _m").select(F.col("right_id").alias(right_id)).distinct(), right_id, "left_anti")
 
 
@@ -206,11 +209,12 @@ def judge_agreement(a: DataFrame, b: DataFrame, threshold: float = 0.5) -> DataF
     x = a.select("left_id", "right_id", probability(F.col("p")).alias("pa")).where("pa is not null")
     y = b.select("left_id", "right_id", probability(F.col("p")).alias("pb")).where("pb is not null")
     m = x.join(y, ["left_id", "right_id"])
+    scratch = Scratch(a.sparkSession, "agreement")
 
     def ranked(c: str) -> DataFrame:
         n = m.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        before = F.coalesce(F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return n.select(c, (before + (F.col("n") + 1) / 2).alias(f"r{c}"))
+        upto = running_sum(n, [c], F.col("n"), "_upto", scratch)
+        return upto.select(c, (F.col("_upto") - F.col("n") + (F.col("n") + 1) / 2).alias(f"r{c}"))
 
     m = m.join(ranked("pa"), "pa").join(ranked("pb"), "pb").withColumns({"ya": (F.col("pa") >= threshold).cast("int"), "yb": (F.col("pb") >= threshold).cast("int")})
     n = lambda i, j: F.count(F.when((F.col("ya") == i) & (F.col("yb") == j), 1))

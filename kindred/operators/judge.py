@@ -9,12 +9,13 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.fields import check_columns, parse_on, side_fields
 from kindred.functions.text import clean, normalize
 from kindred.operators.resolve import probability
+from kindred.ranking import running_sum
 from kindred.scratch import Scratch
 
 STYLES = ("identity", "rule")
@@ -68,14 +69,14 @@ def states(candidates: DataFrame, left: DataFrame, right: DataFrame, on, left_id
     return met.withColumn("state", F.sha2(F.concat_ws("\x1e", F.lit(provider), F.lit(model), F.lit(ask), "a_record", "b_record"), 256))
 
 
-def budgeted(todo: DataFrame, price: Column | float, budget: float) -> DataFrame:
+def budgeted(todo: DataFrame, budget: float, scratch: Scratch) -> DataFrame:
     """Adds within: whether the state is among the likeliest that the budget pays for. Distinct states are ranked by similarity and a
-    running price decides; the rank runs over one narrow row a state."""
+    running price decides, over one narrow row a state."""
     first = todo.groupBy("state").agg(F.max("sim").alias("sim"), F.min(F.struct("left_id", "right_id")).alias("at"), F.min("_price").alias("_price"))
     if math.isinf(budget):
         return first.select("state", F.lit(True).alias("within"))
-    spent = F.sum("_price").over(Window.orderBy(F.desc("sim"), "at.left_id", "at.right_id").rowsBetween(Window.unboundedPreceding, 0))
-    return first.select("state", (F.round(spent, 9) <= budget).alias("within"))
+    ordered = first.select("state", (-F.col("sim")).alias("_s"), F.col("at.left_id").alias("_l"), F.col("at.right_id").alias("_r"), "_price")
+    return running_sum(ordered, ["_s", "_l", "_r"], F.col("_price"), "_spent", scratch).select("state", (F.round("_spent", 9) <= budget).alias("within"))
 
 
 class ColumnJudge:
@@ -156,7 +157,7 @@ def judge(candidates: DataFrame, left: DataFrame, right: DataFrame, judge, *, on
     else:
         kept = kept.withColumn("_cp", F.lit(None).cast("double")).withColumn("_ct", F.lit(None).cast("double"))
     todo = kept.where(~F.col("_same") & F.col("_cp").isNull())
-    pay = budgeted(todo, price, limit)
+    pay = budgeted(todo, limit, scratch)
     one = todo.groupBy("state").agg(F.min(F.struct("left_id", "right_id")).alias("_at"), F.first("a_record").alias("a_record"), F.first("b_record").alias("b_record"), F.max("sim").alias("sim"))
     answered = scratch.cut(judge.answer(one.join(pay.where("within").select("state"), "state").select("state", "a_record", "b_record", "sim")).join(one.select("state", "_at"), "state"))
     now = F.unix_micros(F.current_timestamp()) / 1e6
