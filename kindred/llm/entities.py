@@ -51,14 +51,19 @@ def evidence(x: str, y: str):
     return city + st + year, city == CITY
 
 
-def candidates(profs: DataFrame, scratch: Scratch, across: tuple[str, str] | None = None) -> DataFrame:
+def near_stems(profs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b) of the stems that may stand for each other: within the radius, or one cut off."""
+    stems = scratch.cut(profs.select(F.explode("stems").alias("stem")).distinct())
+    return scratch.cut(radius_join(stems, "stem").unionByName(prefixes(stems, "stem")).distinct())
+
+
+def candidates(profs: DataFrame, scratch: Scratch, across: tuple[str, str] | None = None, near: DataFrame | None = None) -> DataFrame:
     """(pa, pb, name_sim, score, strong) of profile pairs whose names do not contradict each other and whose places speak for them.
 
     Pairs meet on a stem within the radius and one thing of place or time, so a stem used everywhere never pairs with itself as
     a whole. With ``across`` = (left table, right table) pairs run from the one to the other, else within each table.
     """
-    stems = profs.select(F.explode("stems").alias("stem")).distinct()
-    near = scratch.cut(radius_join(stems, "stem").unionByName(prefixes(stems, "stem")).distinct())
+    near = near if near is not None else near_stems(profs, scratch)
     what = F.array(
         F.when(F.col("city").isNotNull(), F.concat(F.lit("c"), F.col("city"))),
         F.when(F.col("city").isNotNull(), F.concat(F.lit("d"), F.substring("city", 1, 4), F.coalesce(F.col("st"), F.lit("")))),
