@@ -58,3 +58,15 @@ def check_ids(df: DataFrame, column: str, side: str) -> None:
     if df.groupBy(column).count().where("count > 1").limit(1).count():
         raise ValueError(f"the {side} data's column {column!r} has duplicate IDs; IDs must be unique")
 
+
+
+def align_ids(df: DataFrame, column: str, table: DataFrame, id: str) -> DataFrame:
+    """df with its text IDs replaced by the table's own values, whatever their type; IDs that the table lacks, or has twice under one
+    text, are an error."""
+    known = table.groupBy(F.col(id).cast("string").alias("_text")).agg(F.min(id).alias("_own"), F.count_distinct(id).alias("_n"))
+    used = df.select(F.col(column).cast("string").alias("_text")).distinct().join(known, "_text", "left")
+    bad = used.where("_text is not null and (_n is null or _n > 1)").limit(3).collect()
+    if bad:
+        raise ValueError(f"column {column!r} holds IDs that the table does not have once: {[r['_text'] for r in bad]}")
+    met = df.withColumn("_text", F.col(column).cast("string")).join(known.select("_text", "_own"), "_text", "left")
+    return met.select(*[F.col("_own").alias(c) if c == column else F.col(c) for c in df.columns])

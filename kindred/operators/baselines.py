@@ -196,6 +196,11 @@ def threshold_sweep(scores: DataFrame, truth: DataFrame, how: str = "many-to-one
     return full.select("threshold", "links", "tp", div(F.col("tp"), F.col("links")).alias("precision"), div(F.col("tp"), F.col("n")).alias("recall"), div(2 * F.col("tp"), F.col("links") + F.col("n")).alias("f1"))
 
 
+def choose_threshold(scores: DataFrame, truth: DataFrame, how: str = "many-to-one", grid: tuple[float, ...] = tuple(round(0.05 * i, 2) for i in range(21))) -> DataFrame:
+    """The row of the sweep with the best F1 after assignment; equal F1 goes to fewer links, then to the lower threshold."""
+    return threshold_sweep(scores, truth, how, grid).orderBy(F.desc(F.coalesce("f1", F.lit(-1.0))), "links", "threshold").limit(1)
+
+
 def canonical_names(df: DataFrame, key: str, name: str) -> DataFrame:
     """(key, canonical, aliases): the most frequent spelling of each key, ties to the first in order, and all spellings joined."""
     n = df.where(F.col(key).isNotNull() & F.col(name).isNotNull()).groupBy(key, F.col(name).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))

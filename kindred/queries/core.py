@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindred.fields import align_ids
 from kindred.functions.text import acronym_keys, clean, guard_formula, jaro_winkler, key_text, normalize, record_text, text_grams, word_grams
 from kindred.operators import audit as A
 from kindred.operators import baselines as B
@@ -18,7 +19,7 @@ from kindred.operators.components import connected_components
 from kindred.operators.judge import ColumnJudge, judge, pair_tokens, question, states, todo
 from kindred.operators.passes import embeddings, exact, initials, ngrams, window, within
 from kindred.operators.resolve import greedy_matching, probability, resolve, with_margin
-from kindred.operators.review import apply_decisions, latest, review_queue
+from kindred.operators.review import apply_decisions, latest, review_queue, selected_scores
 from kindred.operators.vectors import gram_weights
 from kindred.plans.linker import merged
 from kindred.queries.oracle import SQL
@@ -457,6 +458,10 @@ def threshold_sweep(spark, d):
     return _rounded(B.threshold_sweep(_scores(spark, d), _truth(spark, d)), "precision", "recall", "f1")
 
 
+def choose_threshold(spark, d):
+    return _rounded(B.choose_threshold(_scores(spark, d), _truth(spark, d)), "precision", "recall", "f1")
+
+
 def string_scores(spark, d):
     s = B.string_scores(_scores(spark, d).drop("p"), _firms(spark, d), _assignees(spark, d), on=[NAME], left_id="gvkey", right_id="assignee_id", method="exact")
     return s.select("left_id", "right_id", "p")
@@ -554,6 +559,15 @@ def review_latest(spark, d):
     return latest(one.unionByName(two))
 
 
+def review_selected(spark, d):
+    return selected_scores(_scores(spark, d), _links(spark, d)).groupBy("selected").agg(F.count(F.lit(1)).alias("pairs"), F.max("p").alias("best_p"))
+
+
+def aligned_ids(spark, d):
+    """Links read as text, brought back to the firms' own IDs."""
+    return align_ids(_links(spark, d), "left_id", _firms(spark, d), "gvkey")
+
+
 def review_queue_left(spark, d):
     return _rounded(review_queue(_firms(spark, d), "gvkey", _scores(spark, d), _links(spark, d), "left_id"), "gap")
 

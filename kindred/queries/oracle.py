@@ -141,8 +141,6 @@ def _metrics(z: str) -> str:
 
 
 _STOP = "'a','an','and','at','by','for','from','in','of','on','or','the','to','with'"
-_WORDS = f"list_filter(string_split({norm('conm')}, ' '), lambda w: w <> '' AND w NOT IN ({_STOP}))"
-_ACR = rf"CASE WHEN regexp_matches({{n}}, '^\p{{{{L}}}}+$') AND length({{n}}) >= 2 THEN {{n}} END"
 
 
 def _forms(table: str, id: str, name: str) -> str:
@@ -275,6 +273,9 @@ SQL: dict[str, str] = {
       q AS (SELECT gvkey AS id, coalesce(candidates, 0) AS candidates, gap, gvkey NOT IN (SELECT left_id FROM l) AS unmatched, coalesce(unjudged, false) AS unjudged, coalesce(gap <= 0.1, false) AS close FROM {_F} LEFT JOIN g ON g.id = gvkey) SELECT *, CASE WHEN close THEN 0 WHEN unmatched THEN 1 WHEN unjudged THEN 2 ELSE 3 END AS priority FROM q""",
 }
 SQL["judge_shared_states"] = SQL["judge_shared_states"].replace("SELECT CASE WHEN row_number()", "SELECT score_origin, count(*) AS pairs FROM (SELECT CASE WHEN row_number()").replace(" AS score_origin, 1 AS one FROM st", " AS score_origin FROM st) GROUP BY 1")
+SQL["choose_threshold"] = SQL["threshold_sweep"] + " ORDER BY coalesce(CASE WHEN links + nt > 0 THEN 2 * tp / (links + nt) END, -1) DESC, links, threshold LIMIT 1"
+SQL["review_selected"] = _with("s", "l") + "SELECT l.left_id IS NOT NULL AS selected, count(*) AS pairs, max(p) AS best_p FROM s LEFT JOIN l USING (left_id, right_id) GROUP BY 1"
+SQL["aligned_ids"] = "SELECT DISTINCT left_id, right_id FROM result_links"
 SQL["link_firms"] = (
     _with("f", "a", "tc_unit").rstrip() + ",\n" + _UNION3 + ",\n" + _UNION_SIM
     + """, g AS (SELECT *, greatest((SELECT max(b.sim) FROM u4 b WHERE b.left_id = u4.left_id AND b.right_id <> u4.right_id), (SELECT max(b.sim) FROM u4 b WHERE b.right_id = u4.right_id AND b.left_id <> u4.left_id)) AS rival FROM u4)
