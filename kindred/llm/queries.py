@@ -134,7 +134,7 @@ _LINES = rf"""
 SELECT 'record_lines' AS t, line_id AS row_id, array_to_string(list_sort(list_filter(
   CASE WHEN ltrim(line) LIKE '{{%' THEN list_transform(map_entries(CAST(CAST(line AS JSON) AS MAP(VARCHAR, VARCHAR))), lambda e: {_canon("e.key")} || '=' || coalesce({_canon("e.value")}, ''))
   ELSE list_transform(list_filter(string_split_regex(' ' || line, '\sCOL\s+'), lambda x: trim(x) <> ''),
-    lambda x: {_canon("regexp_extract(x, '^(\S+)\s+VAL', 1)")} || '=' || {_canon("regexp_extract(x, '(?s)^\S+\s+VAL(.*)$', 1)")}) END,
+    lambda x: {_canon(r"regexp_extract(x, '^(\S+)\s+VAL', 1)")} || '=' || {_canon(r"regexp_extract(x, '(?s)^\S+\s+VAL(.*)$', 1)")}) END,
   lambda x: x NOT LIKE '%=')), chr(30)) AS form FROM record_lines WHERE line IS NOT NULL
 """
 P3_SQL = (
