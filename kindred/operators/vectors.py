@@ -32,7 +32,8 @@ def gram_weights(left: DataFrame, right: DataFrame, low: int, high: int, groups:
     tf = texts.withColumn("gram", F.explode(grams)).groupBy("text", *g, "gram").agg(F.count(F.lit(1)).alias("tf"), F.first("_n").alias("_n"), F.first("_l").alias("_l"), F.first("_r").alias("_r"))
     total = texts.groupBy(*g).agg(F.sum("_n").alias("_total"))
     df = tf.groupBy("gram", *g).agg(F.sum("_n").alias("_df"))
-    df = df.join(F.broadcast(total), g) if g else df.crossJoin(F.broadcast(total))
+    # one row without groups; with groups there may be any number of them, so size estimates decide
+    df = df.join(total, g) if g else df.crossJoin(F.broadcast(total))
     idf = F.log((1.0 + F.col("_total")) / (1.0 + F.col("_df"))) + 1.0
     raw = tf.join(df.select("gram", *g, idf.alias("_idf")), ["gram", *g]).withColumn("_w", F.col("tf") * F.col("_idf"))
     norm = raw.groupBy("text", *g).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
@@ -133,7 +134,7 @@ def nearest(left: DataFrame, right: DataFrame, cosines: DataFrame, k: int, min_s
         pad = right.select("id", *g).orderBy("id").limit(2 * k) if not g else right
         pad = pad.withColumn("_p", F.row_number().over(first)).where(F.col("_p") <= 2 * k).select(F.col("id").alias("r"), "_p", *g)  # 2k rows a group: k may be taken already
         options = left.select(F.col("id").alias("l"), *g)
-        options = options.join(F.broadcast(pad), g) if g else options.crossJoin(F.broadcast(pad))
+        options = options.join(pad, g) if g else options.crossJoin(F.broadcast(pad))  # 2k rows in all
         spare = options.join(pairs.select("l", "r"), ["l", "r"], "left_anti").select("l", "r", (F.lit(k) + F.col("_p")).alias("_k"))
         both = pairs.select("l", "r", "_k").unionByName(spare)
         pairs = both.withColumn("_k", F.row_number().over(Window.partitionBy("l").orderBy("_k", "r"))).where(F.col("_k") <= k)
