@@ -21,7 +21,7 @@ def parse_on(on, unpaired: bool = False) -> list[Field]:
     """Fields from column names and (left, right) pairs; with ``unpaired`` one member of a pair may be None."""
     items = [on] if isinstance(on, str) else list(on or [])
     if not items:
-        raise ValueError("`on` must name at least one field to compare")
+        raise ValueError("no field to compare was given")
     out = []
     for item in items:
         if isinstance(item, str):
@@ -29,16 +29,16 @@ def parse_on(on, unpaired: bool = False) -> list[Field]:
             continue
         left, right = item if isinstance(item, (tuple, list)) and len(item) == 2 else (0, 0)
         if not all(x is None or isinstance(x, str) for x in (left, right)) or left is right is None:
-            raise ValueError(f"each `on` item is a column name, a (left, right) pair, or a one-sided pair; got {item!r}")
+            raise ValueError(f"{item!r} is no field: give a column, or a pair of columns")
         if None in (left, right) and not unpaired:
-            raise ValueError(f"the field {item!r} exists on one side only, but this step compares both sides")
+            raise ValueError(f"{item!r} has one side only, and this step needs both")
         out.append(Field(left or right, left, right))
     for side in ("left", "right"):
         labels = [f.label for f in out if getattr(f, side)]
         if not labels:
-            raise ValueError(f"`on` gives the {side} records no field")
+            raise ValueError(f"the {side} records have no field")
         if len(labels) != len(set(labels)) and any(None in (f.left, f.right) for f in out):
-            raise ValueError(f"`on` would show the {side} record two fields of one label; rename a column")
+            raise ValueError(f"two fields of the {side} record share a label; rename a column")
     return out
 
 
@@ -50,13 +50,13 @@ def side_fields(fields: list[Field], side: str) -> list[tuple[str, str]]:
 def check_columns(df: DataFrame, columns: list[str], side: str) -> None:
     for c in columns:
         if c not in df.columns:
-            raise ValueError(f"the {side} data has no column {c!r}; its columns are {df.columns}")
+            raise ValueError(f"{c!r} is no column of the {side} table, which has {df.columns}")
 
 
 def check_ids(df: DataFrame, column: str, side: str) -> None:
     check_columns(df, [column], side)
     if df.groupBy(column).count().where("count > 1").limit(1).count():
-        raise ValueError(f"the {side} data's column {column!r} has duplicate IDs; IDs must be unique")
+        raise ValueError(f"IDs repeat in column {column!r} of the {side} table")
 
 
 

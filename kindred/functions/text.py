@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 # Words that an acronym skips.
-ACRONYM_STOP_WORDS = "a an and at by for from in of on or the to with".split()
+ACRONYM_STOP_WORDS = "and of the for inc corp co ltd llc plc company corporation incorporated limited".split()
 
 
 def _fold(text: str) -> str:
@@ -69,7 +69,7 @@ def acronym_keys(c: Column, least: int = 2) -> tuple[Column, Column]:
     words = F.filter(F.split(c, " "), lambda w: (w != "") & ~w.isin(ACRONYM_STOP_WORDS))
     initials = F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")
     acronym = F.when(c.rlike(r"^\p{L}+$") & (F.length(c) >= least), c)
-    return acronym, F.when((F.size(words) >= 2) & (F.length(initials) >= least), initials)
+    return acronym, F.when(F.length(initials) >= least, initials)
 
 
 def _cut_at(text: Column, n: int):

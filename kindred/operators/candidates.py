@@ -60,9 +60,9 @@ class Candidates:
                 entry["dropped_values"] = lost
                 bad = [f"{lost[s]['unparseable']:,} {s} values in {lost[s]['column']!r}" for s in ("left", "right") if lost[s]["unparseable"]]
                 if bad:
-                    warnings.warn(f"pass {p.name!r} could not read {' and '.join(bad)} as {lost['kind']}; those records were dropped from this pass, not guessed", stacklevel=2)
+                    warnings.warn(f"pass {p.name!r} could not read {' and '.join(bad)} as {lost['kind']}; these records take no part in it", stacklevel=2)
             if not entry["proposed_pairs"] and isinstance(p, (Exact, Within)):
-                warnings.warn(f"blocking pass {p.name!r} proposed no pairs: its key columns have no complete value in common; check how both sides spell them", stacklevel=2)
+                warnings.warn(f"pass {p.name!r} found nothing: no complete key occurs on both sides", stacklevel=2)
             out.append(entry)
         return {"schema_version": 1, "max_pairs": self.max_pairs, "pair_count": out[-1]["union_pairs"] if out else 0, "passes": out, "unordered": self.unordered}
 
@@ -83,7 +83,7 @@ def _union(left: DataFrame, right: DataFrame, passes: list[Pass], a: list[str],
     if not isinstance(passes, list) or any(not isinstance(p, Pass) for p in passes):
         raise ValueError("`blockers` must be a list of blocking passes")
     if max_pairs is not None and (isinstance(max_pairs, bool) or not isinstance(max_pairs, int) or max_pairs < 0):
-        raise ValueError("`max_pairs` must be a nonnegative integer, or None for no limit")
+        raise ValueError("`max_pairs` is a whole number or None")
     proposals, marked = [p.pairs(left, right) for p in passes], None
     for i, p in enumerate(proposals):
         one = p.select("l", "r", F.lit(1 << i).cast("long").alias("bit"))
@@ -97,7 +97,7 @@ def _union(left: DataFrame, right: DataFrame, passes: list[Pass], a: list[str],
         masks = masks.persist(StorageLevel.DISK_ONLY)
         found = masks.limit(max_pairs + 1).count()
         if found > max_pairs:
-            raise ValueError(f"blocking produced at least {found:,} pairs, exceeding max_pairs={max_pairs:,}; use a smaller `k`, wrap a pass with `within(...)`, or constrain broad passes")
+            raise ValueError(f"the passes propose more than max_pairs={max_pairs:,} pairs; lower `k` or run a broad pass within a key")
         frame = masks.select("l", "r", F.concat_ws("+", *names).alias("block"))
     if with_sim:
         frame = pair_similarity(frame, left, right, a, b)
@@ -131,7 +131,7 @@ def self_candidates(df: DataFrame, *, on, blockers: list[Pass] | None = None, id
     the table on both sides. The default pass takes eleven neighbours, as a record is its own nearest."""
     fields = parse_on(on)
     if any(f.left != f.right for f in fields):
-        raise ValueError("dedupe compares a table with itself, so each `on` field is one column name")
+        raise ValueError("within one table a field is a single column")
     columns = [f.left for f in fields]
     check_columns(df, [*columns, id], "deduplicated")
     if check:

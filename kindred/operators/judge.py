@@ -28,6 +28,7 @@ class FatalError(RuntimeError):
 
 def question(entity: str | None, definition: str = "", style: str = "identity") -> str:
     """The proposition put to the judge: that two records are the same entity, or that they satisfy a rule."""
+    # The wording of the two propositions, so that cached answers stay comparable
     if style not in STYLES:
         raise ValueError(f"`style` must be one of {', '.join(STYLES)}; got {style!r}")
     definition = (definition or "").strip()
@@ -36,7 +37,7 @@ def question(entity: str | None, definition: str = "", style: str = "identity")
             raise ValueError('`style="rule"` needs a `definition`')
         return f"Record A and record B satisfy the following match rule. {definition}"
     if not entity or not entity.strip():
-        raise ValueError("`entity` says what a record is; it cannot be empty")
+        raise ValueError("name the `entity` that the records describe")
     return f"Record A and record B refer to the same {entity.strip()}." + (f" {definition}" if definition else "")
 
 
@@ -44,7 +45,7 @@ def check_budget(budget: float | None) -> float:
     if budget is None:
         return math.inf
     if isinstance(budget, bool) or not isinstance(budget, (int, float)) or not math.isfinite(budget) or budget < 0:
-        raise ValueError("`budget` must be a finite nonnegative number, or None for no limit")
+        raise ValueError("a budget is zero or more, or None")
     return float(budget)
 
 

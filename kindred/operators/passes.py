@@ -50,13 +50,13 @@ def _named(columns: tuple, name: str | None, kind: str) -> tuple[list[Field], st
     if name is None:
         name = kind + ":" + ",".join(f.left if f.left == f.right else f"{f.left}={f.right}" for f in fields)
     if not isinstance(name, str) or not name.strip():
-        raise ValueError("a pass's `name` must be a nonempty string")
+        raise ValueError("a pass needs a name")
     return fields, name
 
 
 def _whole(value: object, label: str) -> int:
     if isinstance(value, bool) or not isinstance(value, int) or value < 1:
-        raise ValueError(f"`{label}` must be a positive integer")
+        raise ValueError(f"`{label}` counts from 1")
     return value
 
 
@@ -206,13 +206,13 @@ class Window(Pass):
         missing = c.isNull() | (F.trim(c) == "" if text else F.lit(False)) | (F.isnan(c) if isinstance(kind, (T.DoubleType, T.FloatType)) else F.lit(False))
         if self.unit is None:
             if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-                raise ValueError(f"the {side} column {column!r} holds dates; give the window a `unit`, for example unit='days'")
+                raise ValueError(f"{column!r} of the {side} table holds dates: a window over them needs a `unit`")
             if isinstance(kind, T.BooleanType):
-                raise ValueError(f"the {side} column {column!r} holds booleans, not numbers")
+                raise ValueError(f"{column!r} of the {side} table holds booleans")
             v = F.expr(f"try_cast(trim(`{column}`) as double)") if text else c.cast("double")
             return F.when(~missing & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), v), missing, F.lit(False)
         if isinstance(kind, T.NumericType):
-            raise ValueError(f"the {side} column {column!r} holds numbers, not dates; drop `unit` or convert the column first")
+            raise ValueError(f"{column!r} of the {side} table holds numbers: leave out `unit`")
         if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
             return F.unix_micros(c.cast("timestamp")), missing, F.lit(isinstance(kind, T.TimestampType))
         if fmt:
@@ -232,10 +232,10 @@ class Window(Pass):
         for side, df, column, (value, missing, aware) in zip(("left", "right"), (left, right), (self.fields[0].left, self.fields[0].right), self._sides(left, right)):
             row = df.agg(F.coalesce(F.sum(missing.cast("int")), F.lit(0)), F.coalesce(F.sum((~missing & value.isNull()).cast("int")), F.lit(0)), F.max(F.when(value.isNotNull(), aware)), F.min(F.when(value.isNotNull(), aware))).first()
             if self.unit and row[2] != row[3]:
-                raise ValueError(f"the {side} column {column!r} mixes times with and without a UTC offset; convert it to one convention")
+                raise ValueError(f"{column!r} of the {side} table has times with and without offset")
             out[side] = {"column": column, "missing": row[0], "unparseable": row[1], "time_zone": ("utc_offsets" if row[2] else "none") if self.unit else None}
         if self.unit and out["left"]["time_zone"] != out["right"]["time_zone"]:
-            raise ValueError(f"window {self.name!r}: one side's times carry UTC offsets and the other's do not")
+            raise ValueError(f"{self.name!r}: only one side's times have offsets")
         return out
 
     def pairs(self, left, right, groups=()):
@@ -379,18 +379,18 @@ def initials(column, min_len: int = 2, name: str | None = None) -> Initials:
 def window(column, tolerance: float | None = None, *, between=None, unit: str | None = None, date_format=None, name: str | None = None) -> Window:
     fields, made = _named((column,), None, "window")
     if (tolerance is None) == (between is None):
-        raise ValueError("give `window` either a `tolerance` or `between=(low, high)`")
+        raise ValueError("a window takes a tolerance or two bounds")
     if tolerance is not None and tolerance < 0:
-        raise ValueError("`tolerance` must be zero or positive; use `between=(low, high)` for a one-sided window")
+        raise ValueError("a tolerance is zero or more; one-sided windows take `between`")
     low, high = (-tolerance, tolerance) if tolerance is not None else between
     if any(isinstance(v, bool) or not math.isfinite(v) for v in (low, high)) or low > high:
-        raise ValueError("a window's bounds must be finite numbers with low <= high")
+        raise ValueError("bounds are finite and in order")
     unit = {u[0]: u for u in UNITS}.get(unit, unit)
     if unit is not None and unit not in UNITS:
-        raise ValueError(f"`unit` must be one of {', '.join(UNITS)}, or None for numbers")
+        raise ValueError(f"unknown unit; there are {', '.join(UNITS)}")
     formats = tuple(date_format) if isinstance(date_format, (tuple, list)) else (date_format, date_format)
     if unit is None and any(formats):
-        raise ValueError("`date_format` applies to dates; give `unit` as well")
+        raise ValueError("a date format needs a `unit`")
     return Window(fields, name or f"{made}[{low:g}..{high:g}{unit[0] if unit else ''}]", float(low), float(high), unit, formats)
 
 

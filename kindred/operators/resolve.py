@@ -21,7 +21,7 @@ BUCKETS = 64
 
 def number(value: object, label: str, probability: bool = False) -> float:
     if isinstance(value, bool) or not isinstance(value, (int, float)) or value != value or value in (float("inf"), float("-inf")):
-        raise ValueError(f"`{label}` must be a finite number")
+        raise ValueError(f"`{label}` is no finite number")
     if probability and not 0 <= value <= 1:
         raise ValueError(f"`{label}` must lie between 0 and 1")
     return float(value)
@@ -41,9 +41,9 @@ def check_scores(scores: DataFrame) -> None:
     if r["null_ids"]:
         raise ValueError("scores have missing IDs")
     if r["bad_p"]:
-        raise ValueError("column 'p' must hold probabilities between 0 and 1, or be missing")
+        raise ValueError("some p lies outside 0 and 1")
     if r["bad_sim"]:
-        raise ValueError("column 'sim' must hold numbers between 0 and 1")
+        raise ValueError("some sim is missing or outside 0 and 1")
     if scores.groupBy("left_id", "right_id").count().where("count > 1").limit(1).count():
         raise ValueError("scores repeat a pair")
 

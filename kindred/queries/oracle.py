@@ -140,14 +140,14 @@ def _metrics(z: str) -> str:
     (SELECT sum(u) AS n_unlabeled, min(k) AS least_k FROM (SELECT count(y) AS k, count(*) FILTER (y IS NULL) AS u FROM labels GROUP BY bin))"""
 
 
-_STOP = "'a','an','and','at','by','for','from','in','of','on','or','the','to','with'"
+_STOP = ", ".join(f"'{w}'" for w in "and of the for inc corp co ltd llc plc company corporation incorporated limited".split())
 
 
 def _forms(table: str, id: str, name: str) -> str:
     n = norm(name)
     words = f"list_filter(string_split(n, ' '), lambda w: w <> '' AND w NOT IN ({_STOP}))"
     ini = f"array_to_string(list_transform({words}, lambda w: w[1]), '')"
-    return rf"SELECT id, CASE WHEN regexp_matches(n, '^\p{{L}}+$') AND length(n) >= 2 THEN n END AS acronym, CASE WHEN len({words}) >= 2 AND length({ini}) >= 2 THEN {ini} END AS expansion FROM (SELECT {id} AS id, {n} AS n FROM {table})"
+    return rf"SELECT id, CASE WHEN regexp_matches(n, '^\p{{L}}+$') AND length(n) >= 2 THEN n END AS acronym, CASE WHEN length({ini}) >= 2 THEN {ini} END AS expansion FROM (SELECT {id} AS id, {n} AS n FROM {table})"
 
 
 _SPLIT_EDGES = f"""recs AS (SELECT 'left' AS side, gvkey AS id, 'l' || gvkey AS node, {norm('conm')} AS text FROM {_F} UNION ALL SELECT 'right', assignee_id, 'r' || assignee_id, {norm('assignee')} FROM {_A}),
