@@ -45,6 +45,8 @@ def radius_join(strings: DataFrame, col: str) -> DataFrame:
     ps = pivots(src, "s")
     if not ps:
         return src.select(F.col("s").alias("a"), F.col("s").alias("b")).limit(0)
+    # a string becomes some hundred keys: spread the few bytes over all tasks before that, not after
+    src = src.repartition(int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     far = F.array(*[F.struct(F.levenshtein("s", F.lit(p)).alias("d"), F.lit(i).alias("i")) for i, p in enumerate(ps)])
     src = src.withColumn("far", far).withColumn("n", F.length("s"))
     home = F.array_min("far")
