@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.groups import components
@@ -57,27 +57,39 @@ def near_stems(profs: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.cut(radius_join(stems, "stem").unionByName(prefixes(stems, "stem")).distinct())
 
 
-def candidates(profs: DataFrame, scratch: Scratch, across: tuple[str, str] | None = None, near: DataFrame | None = None) -> DataFrame:
+def near_cities(profs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(city, towns): the keys of all cities that evidence() takes for this one, itself included."""
+    cities = scratch.cut(profs.select("city").where("city is not null").distinct())
+    same = cities.select(F.col("city").alias("a"), F.col("city").alias("b"))
+    near = radius_join(cities, "city", short=0).unionByName(prefixes(cities, "city", 4)).unionByName(same)
+    return scratch.cut(near.groupBy(F.col("b").alias("city")).agg(F.collect_set(F.concat(F.lit("c"), F.col("a"))).alias("towns")))
+
+
+def candidates(profs: DataFrame, scratch: Scratch, across: tuple[str, str] | None = None, near: DataFrame | None = None, towns: DataFrame | None = None) -> DataFrame:
     """(pa, pb, name_sim, score, strong) of profile pairs whose names do not contradict each other and whose places speak for them.
 
     Pairs meet on a stem within the radius and one thing of place or time, so a stem used everywhere never pairs with itself as
-    a whole. With ``across`` = (left table, right table) pairs run from the one to the other, else within each table.
+    a whole. Two cities must agree, so rows with cities meet on near cities alone; where a city is missing, rows meet on the
+    state, a near year or an equal name: that is every pair that evidence() lets pass. With ``across`` = (left table, right
+    table) pairs run from the one to the other, else within each table.
     """
     near = near if near is not None else near_stems(profs, scratch)
-    what = F.array(
-        F.when(F.col("city").isNotNull(), F.concat(F.lit("c"), F.col("city"))),
-        F.when(F.col("city").isNotNull(), F.concat(F.lit("d"), F.substring("city", 1, 4), F.coalesce(F.col("st"), F.lit("")))),
-        F.when(F.col("st").isNotNull(), F.concat(F.lit("s"), F.col("st"))),
-        F.when(F.col("city").isNull(), F.concat(F.lit("n"), F.col("nc"))),
-        F.when(F.col("year").isNotNull(), F.concat(F.lit("y"), F.col("year").cast("string"))),
-    )
+    towns = towns if towns is not None else near_cities(profs, scratch)
     cols = ["p", "tab", "nc", "city", "st", "year"]
-    keyed = profs.select(*cols, F.explode("stems").alias("stem"), F.array_compact(what).alias("what"))
-    a = keyed.select(*[F.col(c).alias(f"a_{c}") for c in cols], "stem", F.explode("what").alias("key"))
-    years = F.expr(f"transform(sequence(year - {YEARS}, year + {YEARS}), x -> concat('y', cast(x as string)))")
-    spread = F.when(F.col("year").isNull(), F.col("what")).otherwise(F.array_union("what", years))
-    spread = F.array_union(spread, F.array(F.concat(F.lit("n"), F.col("nc"))))
-    b = keyed.select(*[F.col(c).alias(f"b_{c}") for c in cols], "stem", F.explode(spread).alias("key"))
+
+    def loose(mark: str, years: int) -> Column:
+        """The keys of state, year and name; mark tells whose city is missing."""
+        year = F.when(F.col("year").isNotNull(), F.transform(F.sequence(F.col("year") - years, F.col("year") + years), lambda y: F.concat(F.lit(f"y{mark}"), y.cast("string"))))
+        rest = F.array(F.when(F.col("st").isNotNull(), F.concat(F.lit(f"s{mark}"), F.col("st"))), F.concat(F.lit(f"n{mark}"), F.col("nc")))
+        return F.concat(F.array_compact(rest), F.coalesce(year, F.array().cast("array<string>")))
+
+    gone, none = F.col("city").isNull(), F.array().cast("array<string>")
+    # a row without city meets all rows on the keys marked 0; a row with one meets rows without on those marked 1, which within a
+    # table would only give the same pairs in the other order
+    left = F.when(gone, loose("0", 0)).otherwise(F.concat(F.array(F.concat(F.lit("c"), F.col("city"))), loose("1", 0) if across else none))
+    right = F.concat(F.coalesce("towns", none), loose("0", YEARS), F.when(gone, loose("1", YEARS)).otherwise(none) if across else none)
+    side = lambda df, x, what: df.select(*[F.col(c).alias(f"{x}_{c}") for c in cols], F.explode("stems").alias("stem"), what.alias("what")).select(*[f"{x}_{c}" for c in cols], "stem", F.explode("what").alias("key"))
+    a, b = side(profs, "a", left), side(profs.join(towns, "city", "left"), "b", right)
     if across:
         a, b = a.where(F.col("a_tab") == across[0]), b.where(F.col("b_tab") == across[1])
     score, strong = evidence("a_", "b_")
@@ -88,7 +100,7 @@ def candidates(profs: DataFrame, scratch: Scratch, across: tuple[str, str] | Non
     same = a.join(b, ["stem", "key"])
     other = a.withColumnRenamed("stem", "a").hint("merge").join(near, "a").withColumnRenamed("b", "stem").drop("a").join(b, ["stem", "key"])
     met = same.unionByName(other.select(same.columns)).where(sides & (F.lit(True) if across else F.col("a_p") != F.col("b_p"))).withColumn("score", score).withColumn("strong", strong).where("score >= -1 and (score >= 1 or a_nc = b_nc)")
-    if not across:  # the key of equal names is given to one side only, so such a pair may come in one order
+    if not across:  # keys marked 0 are given to one side only, so such a pair may come in one order
         first = F.col("a_p") < F.col("b_p")
         met = met.select(*[F.when(first, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a_p", "b_p"), ("b_p", "a_p"), ("a_nc", "b_nc"), ("b_nc", "a_nc"))], "score", "strong")
     met = scratch.cut(met.select(*pair).distinct())

@@ -34,12 +34,12 @@ def pivots(strings: DataFrame, col: str, count: int = PIVOTS, sample: int = SAMP
     return out
 
 
-def allowed(a: Column, b: Column) -> Column:
-    """The radius of a pair: one edit under seven letters, else two."""
-    return F.when(F.least(F.length(a), F.length(b)) < 7, 1).otherwise(REACH)
+def allowed(a: Column, b: Column, short: int = 7) -> Column:
+    """The radius of a pair: one edit under ``short`` letters, else two."""
+    return F.when(F.least(F.length(a), F.length(b)) < short, 1).otherwise(REACH)
 
 
-def radius_join(strings: DataFrame, col: str) -> DataFrame:
+def radius_join(strings: DataFrame, col: str, short: int = 7) -> DataFrame:
     """(a, b) of all pairs of different strings within the radius, in both orders. Null and empty strings pair with nothing."""
     src = strings.select(F.col(col).alias("s")).where("s is not null and s <> ''").distinct()
     ps = pivots(src, "s")
@@ -66,7 +66,7 @@ def radius_join(strings: DataFrame, col: str) -> DataFrame:
     seek = src.select(s.alias("b"), F.explode(F.array_distinct(F.array(*probes))).alias("key"), cells.alias("cells")).select("b", "key", F.explode("cells").alias("cell"))
     near = F.levenshtein(F.col("a"), F.col("b"), REACH)
     # the keys are many times the strings they come from, which size estimates do not see: never broadcast them
-    met = held.join(seek.hint("merge"), ["cell", "key"]).where("a <> b").where((near >= 0) & (near <= allowed(F.col("a"), F.col("b")))).select("a", "b").distinct()
+    met = held.join(seek.hint("merge"), ["cell", "key"]).where("a <> b").where((near >= 0) & (near <= allowed(F.col("a"), F.col("b"), short))).select("a", "b").distinct()
     return met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
