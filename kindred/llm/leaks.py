@@ -6,8 +6,10 @@ every position and joined with that table. Around each hit the item is laid over
 with most words in place are kept, their length in words of the item is added up, and the item counts as leaked when its one or
 two stretches together reach COVER of its words.
 
-Words shared by many items are turns of phrase. A seed of such words only is no seed, and within the stretches the rare words
-must agree too, so two items of one pattern with other names are not taken for each other.
+Words shared by many different item texts are turns of phrase. A seed of such words only is no seed, and within the stretches the
+rare words must agree too, so two items of one pattern with other names are not taken for each other. An item whose
+words are mostly common has its common seeds too, and the verification decides. Equal texts are one item until the
+end, when the pairs found are given to all their keys.
 
 The corpus is read once for every block of items and never shuffled; a block's seed table has a fixed bound (BLOCK_WORDS), so the
 join runs beside the scan; more items make more blocks, and no item or text is left out.
@@ -25,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kindred.scratch import Scratch
+
 # Fixed masks: word positions that count, of runs of three to six words.
 MASKS = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 4), (0, 3, 4), (0, 2, 4))
 COVER = 0.4
@@ -42,6 +46,11 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.casefold()) if text else []
 
 
+def form(text: str) -> str:
+    """The words of a text alone; those that only punctuation parts are joined by a hyphen. The form has the words of its text."""
+    return " ".join("-".join(p) for x in text.casefold().split() if (p := WORD.findall(x)))
+
+
 class Items:
     """The seed table of a block of items."""
 
@@ -51,7 +60,7 @@ class Items:
         self.words = [words(t) for t in texts]
         # a word joined by punctuation, as LAD-2222, counts once
         self.share = [np.array([1 / len(p) for x in t.casefold().split() if (p := WORD.findall(x)) for _ in p]) for t in texts]
-        df = Counter(w for ws in self.words for w in set(ws))
+        df = Counter(w for ws in set(map(tuple, self.words)) for w in set(ws))
         df.update({w: n - df[w] for w, n in common.items() if w in df})
         self.vocab = {w: i + 1 for i, w in enumerate(sorted(df))}
         weight = np.zeros(len(self.vocab) + 1)
@@ -64,18 +73,30 @@ class Items:
             self.rare[i] = df[w] <= often
         self.ids = [np.array([self.vocab[w] for w in ws], np.int64) for ws in self.words]
         self.size = np.array([s.sum() for s in self.share])
+        # the words of items that have common seeds too
+        plain = [self.plain(n) for n in range(len(self.ids))]
+        self.asked = np.zeros(len(self.vocab) + 1, bool)
+        for ids, p in zip(self.ids, plain):
+            if p:
+                self.asked[ids] = True
         seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for n, ids in enumerate(self.ids):
             for m in range(len(MASKS)):
                 at, h = self.hashes(ids, m)
                 for a, x in zip(at.tolist(), h.tolist()):
-                    seeds[x].append((n, a))
+                    if plain[n] or any(self.rare[ids[a + o]] for o in MASKS[m]):
+                        seeds[x].append((n, a))
             if 0 < len(ids) < SHORTEST:  # an item of one or two words is found as a whole
                 seeds[int(ids[0]) | 1 << 62].append((n, 0))
         self.seeds = dict(seeds)
         self.sorted = np.array(sorted(seeds), np.uint64)
         self.short = {int(ids[0]) for ids in self.ids if 0 < len(ids) < SHORTEST}
 
+    def plain(self, n: int) -> bool:
+        """Whether item n would still agree as a whole if all its rare words were others: rare seeds alone are too few for it."""
+        weight, rare = self.weight[self.ids[n]], self.rare[self.ids[n]]
+        return float(weight[~rare].sum()) >= AGREE * float(weight.sum())
+
     def hashes(self, ids: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions and hashes of all seeds of one mask in a sequence of word numbers; 0 is a word of no item."""
         mask = MASKS[m]
@@ -84,7 +105,7 @@ class Items:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
         cols = [ids[o : o + n] for o in mask]
         good = (cols[0] > 0) & (cols[1] > 0) & (cols[2] > 0)
-        good &= self.rare[cols[0]] | self.rare[cols[1]] | self.rare[cols[2]]
+        good &= self.rare[cols[0]] | self.rare[cols[1]] | self.rare[cols[2]] | (self.asked[cols[0]] & self.asked[cols[1]] & self.asked[cols[2]])
         at = np.flatnonzero(good)
         h = np.full(len(at), m + 1, np.uint64)
         for c, k in zip(cols, MULT):
@@ -133,17 +154,29 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
     """
     spark = docs.sparkSession
     src = items.select(F.col(item_key), F.col(item_text).cast("string").alias("_t")).where(F.col(item_key).isNotNull() & F.col("_t").rlike(r"(?U)\w")).dropDuplicates([item_key])
-    size = src.agg(F.count(F.lit(1)), F.sum(F.size(F.split("_t", r"\s+")))).first()
+
+    def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([form(t) for t in b.column(1).to_pylist()], pa.string())], names=[item_key, "_t"])
+
+    scratch = Scratch(spark, "leaks")
+    src = scratch.cut(src.mapInArrow(forms, f"`{item_key}` {src.schema[item_key].dataType.simpleString()}, _t string").where("_t <> ''"))
+    # equal texts are searched once, under the smallest of their keys
+    texts = src.groupBy("_t").agg(F.min(item_key).alias("_first"))
+    alone, texts = F.split("_t", "[- ]"), scratch.cut(texts.select("_first", "_t"))
+    size = texts.agg(F.countDistinct(F.translate("_t", "-", " ")), F.sum(F.size(alone))).first()
     total, blocks = size[0], max(1, -(-(size[1] or 0) // BLOCK_WORDS))
     base = docs.select(F.col(key), F.col(text).cast("string").alias("_t")).where(F.col(key).isNotNull() & F.col("_t").isNotNull())
     kinds = f"`{key}` {base.schema[key].dataType.simpleString()}, `{item_key}` {src.schema[item_key].dataType.simpleString()}"
-    common: dict[str, int] = {}
-    if blocks > 1:  # words of 2 % of the items or more: at most 50 times the words of an item
-        w = src.select(F.explode(F.array_distinct(F.split(F.lower("_t"), r"\W+"))).alias("w")).groupBy("w").count().where(F.col("count") > max(3, total * 0.02))
-        common = {r["w"]: r["count"] for r in w.toLocalIterator()}
+    block = F.pmod(F.xxhash64(F.translate("_t", "-", " ")), F.lit(blocks))
+    if blocks > 1:  # in how many texts of all blocks a word is, by the block that has the word
+        each = texts.select(F.translate("_t", "-", " ").alias("_t")).distinct().select(block.alias("_b"), F.explode(F.array_distinct(alone)).alias("w"))
+        often = each.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+        counts = scratch.cut(each.distinct().join(often, "w"))
     parts = []
     for b in range(blocks):
-        mine = src if blocks == 1 else src.where(F.pmod(F.xxhash64(F.col(item_key)), F.lit(blocks)) == b)
+        mine = texts if blocks == 1 else texts.where(block == b)
+        common = {} if blocks == 1 else {r["w"]: r["n"] for r in counts.where(F.col("_b") == b).toLocalIterator()}
         shared = spark.sparkContext.broadcast(Items([(r[0], r[1]) for r in mine.collect()], common, total))
         out = pa.schema([(key, _arrow(base.schema[key])), (item_key, _arrow(src.schema[item_key]))])
 
@@ -179,7 +212,8 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
     res = parts[0]
     for p in parts[1:]:
         res = res.unionByName(p)
-    return res.distinct()
+    keys = src.join(texts, "_t").select(F.col("_first"), item_key)
+    return res.distinct().withColumnRenamed(item_key, "_first").join(keys, "_first").select(key, item_key)
 
 
 def _arrow(field) -> pa.DataType:

@@ -104,6 +104,16 @@ def test_leak_blocks_give_the_same(spark, monkeypatch):
     assert {tuple(r) for r in leaks(docs, "doc_id", "text", items, "item_id", "text").collect()} == one >= {(i * 10, i) for i in range(12)}
 
 
+def test_leaks_of_repeated_and_common_texts(spark):
+    rng = random.Random(4)
+    other = [(100 + i, " ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(20))) for i in range(200)]
+    plain = [(400 + i, " ".join(rng.sample("one two three four five six seven eight nine ten".split(), 10))) for i in range(30)]
+    items = spark.createDataFrame([(i, ITEM if i % 2 else ITEM.upper() + "!") for i in range(90)] + other + plain, "item_id long, text string")
+    docs = [(1, f"Before. {ITEM} After."), (2, other[3][1]), (3, "so " + plain[5][1]), (4, "none of it")]
+    got = {tuple(r) for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", items, "item_id", "text").collect()}
+    assert {x for x in got if x[0] != 3} == {(1, i) for i in range(90)} | {(2, 103)} and (3, 405) in got
+
+
 def test_seed_masks_survive_a_replaced_word():
     t = Items([(1, ITEM)], {}, 1)
     ids = t.ids[0].copy()
