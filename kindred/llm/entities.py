@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kindred.llm.groups import components
 from kindred.llm.metric import prefixes, radius_join
-from kindred.llm.names import city_key, features, generic_words, same_name, state_code
+from kindred.llm.names import STEM, city_key, features, generic_words, same_name, state_code
 from kindred.scratch import Scratch
 
 #: Evidence of place and time: what agreement and conflict are worth. Years are off by a little, states are now and then wrong.
@@ -52,9 +52,9 @@ def evidence(x: str, y: str):
 
 
 def near_stems(profs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b) of the stems that may stand for each other: within the radius, or one cut off."""
+    """(a, b) of the stems that may stand for each other, as same_stem() has it: within the radius, or one cut off."""
     stems = scratch.cut(profs.select(F.explode("stems").alias("stem")).distinct())
-    return scratch.cut(radius_join(stems, "stem").unionByName(prefixes(stems, "stem")).distinct())
+    return scratch.cut(radius_join(stems.where(F.length("stem") >= STEM), "stem").unionByName(prefixes(stems, "stem", 4)).distinct())
 
 
 def near_cities(profs: DataFrame, scratch: Scratch) -> DataFrame:
