@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from kindred.scratch import Scratch
 
 WORD_BITS = 18
-ROUNDS = 5
+#: A guard far above need: SETTLED ends the iterations, and ROUNDS without it raises.
+ROUNDS = 100
 #: Stop when the mean word moved less than this share of the scale.
 SETTLED = 0.002
 #: Weight, in words, of the overall mean in every node: it settles nodes that hardly touch the graded ones.
@@ -172,8 +173,8 @@ def propagate(graph: DataFrame, key: str, tongues: list[str], rounds: int = ROUN
         words, known = new.astype(np.float32), (weight[0] / (weight[0] + LEAN)).astype(np.float32)
         shared.unpersist()
         if step and moved < SETTLED:
-            break
-    return words, known, mean, spread
+            return words, known, mean, spread
+    raise RuntimeError(f"the words still move by {moved:.4f} after {rounds} rounds")
 
 
 def _cut(held: list[tuple[float, bool]], crowd: dict[int, int]) -> float:

@@ -142,3 +142,13 @@ def test_reading_levels(spark):
     assert not any(got[i].prose for i in (900, 901, 902, 903))
     assert {r.level for r in reading_levels(d, "doc_id", "text", "lang", l.limit(0), *args).collect()} == {"easy"}
     assert reading_levels(d.limit(0), "doc_id", "text", "lang", l, *args).count() == 0
+
+
+def test_reading_levels_are_of_settled_words(spark):
+    rng = random.Random(5)
+    docs = [(i, " ".join(rng.choice("abcdefghij"[i % 2 :: 2]) * rng.randrange(3, 6) for _ in range(30)), "en") for i in range(40)]
+    d, l = spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame([(i, ("easy", "hard")[i % 2], "r") for i in range(12)], "doc_id long, band string, reader string")
+    args = (d, "doc_id", "text", "lang", l, "doc_id", "band", ["easy", "hard"])
+    with pytest.raises(RuntimeError):
+        reading_levels(*args, rounds=1).count()
+    assert reading_levels(*args).count() == 40
