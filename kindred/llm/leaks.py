@@ -3,8 +3,8 @@
 A seed is a short run of word positions of which a fixed mask ignores some, so a replaced word at an ignored position leaves the
 seed intact. The seeds of all test items form a table of hashes; every corpus text, whole, is turned into the same hashes at
 every position and joined with that table. Around each hit the item is laid over the text and compared word by word: stretches
-with most words in place are kept, their length in words of the item is added up, and the item counts as leaked when its one or
-two stretches together reach COVER of its words.
+with most words in place are kept, their length in words of the item is added up, and the item counts as leaked when its
+stretches, however many, together reach COVER of its words.
 
 Words shared by many different item texts are turns of phrase. A seed of such words only is no seed, and within the stretches the
 rare words must agree too, so two items of one pattern with other names are not taken for each other. An item whose
@@ -140,9 +140,8 @@ class Items:
         covered = np.zeros(size, bool)
         for _, a, b, d in pieces:
             if all((a < x) == (d < z) for x, y, z in kept) and covered[a:b].sum() < 0.5 * (b - a):
-                if len(kept) < 4:
-                    kept.append((a, b, d))
-                    covered[a:b] = True
+                kept.append((a, b, d))
+                covered[a:b] = True
         return float(self.share[n][covered].sum()) >= COVER * self.size[n] - 1e-9
 
 

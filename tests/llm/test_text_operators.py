@@ -114,6 +114,14 @@ def test_leaks_of_repeated_and_common_texts(spark):
     assert {x for x in got if x[0] != 3} == {(1, i) for i in range(90)} | {(2, 103)} and (3, 405) in got
 
 
+def test_leak_in_many_stretches(spark):
+    rng = random.Random(8)
+    ws = ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(60)]
+    broken = " ".join(" ".join(ws[i : i + 4]) + " | line 1 of page 7 |" for i in range(0, 60, 4))
+    d, i = spark.createDataFrame([(1, broken)], "doc_id long, text string"), spark.createDataFrame([(1, " ".join(ws)), (2, "other words here")], "item_id long, text string")
+    assert [tuple(r) for r in leaks(d, "doc_id", "text", i, "item_id", "text").collect()] == [(1, 1)]
+
+
 def test_seed_masks_survive_a_replaced_word():
     t = Items([(1, ITEM)], {}, 1)
     ids = t.ids[0].copy()
