@@ -122,6 +122,19 @@ def test_leak_in_many_stretches(spark):
     assert [tuple(r) for r in leaks(d, "doc_id", "text", i, "item_id", "text").collect()] == [(1, 1)]
 
 
+def test_leak_blocks_count_words_of_every_script(spark, monkeypatch):
+    import kindred.llm.leaks as L
+
+    made = []
+    init = Items.__init__
+    monkeypatch.setattr(Items, "__init__", lambda self, rows, common, total: made.append((common, total)) or init(self, rows, common, total))
+    items = spark.createDataFrame([(i, f"für été straße wort{i} zahl{i}") for i in range(12)], "item_id long, text string")
+    monkeypatch.setattr(L, "BLOCK_WORDS", 20)
+    docs = items.selectExpr("item_id as doc_id", "text")
+    assert leaks(docs, "doc_id", "text", items, "item_id", "text").count() >= 12
+    assert len(made) > 1 and all(total == 12 and all(n == 12 for w, n in c.items() if w in ("für", "été", "strasse")) and (not c or "été" in c) for c, total in made)
+
+
 def test_seed_masks_survive_a_replaced_word():
     t = Items([(1, ITEM)], {}, 1)
     ids = t.ids[0].copy()
