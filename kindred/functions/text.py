@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -137,12 +138,74 @@ def _jaro_winkler(a: str, b: str) -> float:
     return jaro + prefix * 0.1 * (1 - jaro) if jaro > 0.7 else jaro
 
 
+def padded_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of texts as rows of one matrix, and the texts' lengths."""
+    lens = np.fromiter(map(len, texts), np.int64, len(texts))
+    out = np.zeros((len(texts), max(1, int(lens.max(initial=1)))), np.int32)
+    out[np.arange(out.shape[1]) < lens[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.int32)
+    return out, lens
+
+
+def jaro_winkler_codes(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """Jaro-Winkler of row pairs of two code matrices: one step a letter of x for all pairs at once."""
+    n, at = len(x), np.arange(y.shape[1], dtype=np.int16)
+    reach = np.maximum(np.maximum(nx, ny) // 2 - 1, 0).astype(np.int16)
+    free = at < ny[:, None]
+    met, rows = np.zeros(x.shape, bool), np.arange(n)
+    low, high = -reach[:, None], reach[:, None]
+    for i in range(int(nx.max(initial=0))):
+        a, b = max(0, i - int(reach.max(initial=0))), min(len(at), i + int(reach.max(initial=0)) + 1)
+        fits = free[:, a:b] & (y[:, a:b] == x[:, i : i + 1])
+        off = at[a:b] - np.int16(i)
+        fits &= off >= low
+        fits &= off <= high
+        if a >= b:
+            break
+        where = fits.argmax(1)
+        hit = fits[rows, where] & (i < nx)
+        free[rows[hit], a + where[hit]] = False
+        met[:, i] = hit
+    used = (at < ny[:, None]) & ~free
+    m = met.sum(1)
+    # the matched letters of both sides in order, side by side
+    same = np.zeros((2, n, max(1, int(m.max(initial=0)))), np.int32)
+    for k, (codes, mask) in enumerate(((x, met), (y, used))):
+        row, col = np.nonzero(mask)
+        same[k, row, (np.cumsum(mask, 1) - 1)[row, col]] = codes[row, col]
+    swaps = (same[0] != same[1]).sum(1) // 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        jaro = np.where(m > 0, (m / nx + m / ny + (m - swaps) / m) / 3, 0.0)
+    k = min(4, x.shape[1], y.shape[1])
+    start = np.cumprod((x[:, :k] == y[:, :k]) & (np.arange(k) < np.minimum(nx, ny)[:, None]), 1).sum(1)
+    out = np.where(jaro > 0.7, jaro + start * 0.1 * (1 - jaro), jaro)
+    equal = (nx == ny) & (x[:, : min(x.shape[1], y.shape[1])] == y[:, : min(x.shape[1], y.shape[1])]).all(1) if x.shape[1] == y.shape[1] else np.zeros(n, bool)
+    return np.where(equal & (nx > 0), 1.0, out)
+
+
+#: Pairs compared at once, and the length from which a text is compared by itself.
+PAIRS, LONG = 4096, 200
+
+
 def _jw_series(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_jaro_winkler(x, y) if isinstance(x, str) and isinstance(y, str) else None for x, y in zip(a, b)], dtype="float64")
+    out = np.full(len(a), np.nan)
+    rows = np.flatnonzero(a.notna().to_numpy() & b.notna().to_numpy())
+    x, y = a.to_numpy()[rows].tolist(), b.to_numpy()[rows].tolist()
+    size = np.maximum(np.fromiter(map(len, x), np.int64, len(x)), np.fromiter(map(len, y), np.int64, len(y)))
+    order = np.argsort(size, kind="stable")  # alike lengths waste no room
+    few = int((size <= LONG).sum())
+    for lo in range(0, few, PAIRS):
+        part = order[lo : min(lo + PAIRS, few)]
+        codes, lens = padded_codes([x[i] for i in part] + [y[i] for i in part])
+        n = len(part)
+        out[rows[part]] = jaro_winkler_codes(codes[:n], lens[:n], codes[n:], lens[n:])
+    for i in order[few:]:
+        out[rows[i]] = _jaro_winkler(x[i], y[i])
+    out[rows[size == 0]] = 1.0
+    return pd.Series(out)
 
 
 def jaro_winkler(a: Column, b: Column) -> Column:
-    """Jaro-Winkler similarity (prefix weight 0.1 above 0.7); null if either text is null."""
+    """Jaro-Winkler similarity (prefix weight 0.1 above 0.7); null if either text is null. Batches are compared as matrices of codes."""
     return pandas_udf(_jw_series, T.DoubleType())(a, b)
 
 

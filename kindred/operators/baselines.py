@@ -6,12 +6,14 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kindred.fields import parse_on
 from kindred.functions.text import jaro_winkler, normalize, record_text
 from kindred.operators.components import connected_components
+from kindred.operators.grid import WinklerIndex, over_cells
 from kindred.operators.resolve import probability, resolve
-from kindred.operators.vectors import gram_weights, nearest_texts
+from kindred.operators.vectors import nearest_texts, vectors
 from kindred.ranking import place, running_sum
 from kindred.scratch import Scratch
 
@@ -34,11 +36,14 @@ def _best(pairs: DataFrame) -> DataFrame:
 
 def jaro_winkler_matches(left: DataFrame, right: DataFrame, *, on, left_id: str, right_id: str) -> DataFrame:
     """Each left record's best right by Jaro-Winkler among those with the same first character; ties go to the smaller ID. Distinct texts
-    are compared once."""
+    are compared once, likeliest first and only as far as the best can still be beaten (see WinklerIndex)."""
     a, b = _texts(left, right, on, left_id, right_id)
     a, b = a.where("lt <> ''"), b.where("rt <> ''")
-    da, db = a.select("lt").distinct().withColumn("c", F.substring("lt", 1, 1)), b.groupBy("rt").agg(F.min("right_id").alias("right_id")).withColumn("c", F.substring("rt", 1, 1))
-    sims = da.join(db, "c").select("lt", "right_id", F.round(jaro_winkler(F.col("lt"), F.col("rt")), 12).alias("sim"))
+    kind = b.schema["right_id"].dataType
+    items = b.groupBy(F.col("rt").alias("text")).agg(F.min("right_id").alias("first")).withColumn("c", F.substring("text", 1, 1)).select("c", "first", "text")
+    asked = a.select(F.col("lt").alias("text")).distinct().select(F.substring("text", 1, 1).alias("c"), F.lit(None).cast(kind).alias("first"), "text")
+    schema = T.StructType([T.StructField("lt", T.StringType()), T.StructField("right_id", kind), T.StructField("sim", T.DoubleType())])
+    sims = over_cells(asked, items, ["c"], ["first", "text"], lambda held: WinklerIndex(held, schema.names), schema, 20_000)
     return _best(a.join(sims, "lt"))
 
 
@@ -46,9 +51,9 @@ def tfidf_matches(left: DataFrame, right: DataFrame, *, on, left_id: str, right_
     """Each left record's best right by cosine of TF-IDF n-grams over the whole text."""
     a, b = _texts(left, right, on, left_id, right_id)
     x, y = a.withColumnsRenamed({"left_id": "id", "lt": "text"}), b.withColumnsRenamed({"right_id": "id", "rt": "text"})
-    lw, rw = gram_weights(x, y, *grams, whole_text=True, scratch=Scratch(left.sparkSession, "tfidf"))
+    packed = Scratch(left.sparkSession, "tfidf").cut(vectors(x, y, *grams, whole_text=True))
     few = b.groupBy("rt").agg(F.min("right_id").alias("right_id"))
-    sims = nearest_texts(x, y, lw, rw, 1, 0.0).join(few, "rt").select("lt", "right_id", "sim")
+    sims = nearest_texts(x, y, packed, 1, 0.0).join(few, "rt").select("lt", "right_id", "sim")
     return _best(a.join(sims, "lt"))
 
 

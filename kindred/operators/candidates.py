@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from kindred.fields import check_columns, check_ids, parse_on, side_fields
 from kindred.functions.text import record_text
 from kindred.operators.passes import Exact, NGrams, Pass, Within, default_passes, ngrams
-from kindred.operators.vectors import clip_cosine, gram_weights
+from kindred.operators.vectors import packed_cosines, vectors
+from kindred.skew import lookup
 
 SIM_GRAMS = (2, 4)
 MAX_PAIRS = 5_000_000
@@ -71,11 +72,11 @@ def pair_similarity(pairs: DataFrame, left: DataFrame, right: DataFrame, left_co
     """Adds sim to (l, r): the cosine of both whole records, fitted on both whole tables, whatever pass proposed the pair."""
     a = left.select(F.col("_id").alias("id"), record_text(left_columns).alias("text"))
     b = right.select(F.col("_id").alias("id"), record_text(right_columns).alias("text"))
-    lw, rw = gram_weights(a, b, *SIM_GRAMS)
-    texts = pairs.join(a.withColumnsRenamed({"id": "l", "text": "lt"}), "l").join(b.withColumnsRenamed({"id": "r", "text": "rt"}), "r")
-    need = texts.select("lt", "rt").distinct()
-    met = need.join(lw.withColumnsRenamed({"text": "lt", "w": "wl"}), "lt").join(rw.withColumnsRenamed({"text": "rt", "w": "wr"}), ["rt", "gram"])
-    sims = met.groupBy("lt", "rt").agg(clip_cosine(F.sum(F.col("wl") * F.col("wr"))).alias("sim"))
+    packed = vectors(a, b, *SIM_GRAMS)
+    side = lambda flag, x: packed.where(flag).select(F.col("text").alias(f"{x}t"), F.col("h").alias(f"h{'ab'[x == 'r']}"), F.col("w").alias(f"w{'ab'[x == 'r']}"))
+    texts = lookup(lookup(pairs, a.withColumnsRenamed({"id": "l", "text": "lt"}), "l", "r"), b.withColumnsRenamed({"id": "r", "text": "rt"}), "r", "l")
+    need = texts.select("lt", "rt").distinct().join(side("_l", "l"), "lt").join(side("_r", "r"), "rt")
+    sims = packed_cosines(need, "rt string, lt string")
     return texts.join(sims, ["lt", "rt"], "left").withColumn("sim", F.coalesce("sim", F.lit(0.0))).drop("lt", "rt")
 
 

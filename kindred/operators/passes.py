@@ -12,12 +12,14 @@ from dataclasses import dataclass, field
 from fractions import Fraction
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred.fields import Field, check_columns, parse_on
 from kindred.functions.text import acronym_keys, key_text, normalize, record_text, strptime_pattern
-from kindred.operators.vectors import gram_weights, nearest, nearest_texts
+from kindred.operators.grid import VectorIndex, over_cells
+from kindred.operators.vectors import nearest, nearest_texts, vectors
 from kindred.scratch import Scratch
 
 # Microseconds of the units of time.
@@ -146,8 +148,8 @@ class NGrams(Pass):
         g = list(groups)
         a = left.select(F.col("_id").alias("id"), record_text([f.left for f in self.fields]).alias("text"), *g)
         b = right.select(F.col("_id").alias("id"), record_text([f.right for f in self.fields]).alias("text"), *g)
-        lw, rw = gram_weights(a, b, *self.n, g, scratch=Scratch(left.sparkSession, "ngrams"))
-        cosines = nearest_texts(b, a, rw, lw, self.k, self.min_sim, g) if self.reverse else nearest_texts(a, b, lw, rw, self.k, self.min_sim, g)
+        packed = Scratch(left.sparkSession, "ngrams").cut(vectors(a, b, *self.n, g))
+        cosines = nearest_texts(a, b, packed, self.k, self.min_sim, g, self.reverse)
         return nearest(a, b, cosines, self.k, self.min_sim, self.reverse, g)
 
 
@@ -261,9 +263,9 @@ class Window(Pass):
 class Embeddings(Pass):
     """The k nearest records by cosine of dense vectors; blank and zero vectors never pair.
 
-    The side that is searched travels in blocks of a fixed number of vectors (BLOCK), each small enough for every executor, and the
-    queries meet it by matrix products over Arrow batches; a query keeps its k best of each block, and the blocks' winners are
-    ranked at the end. Vectors come from a column of arrays, or from an encoder on the distinct texts.
+    Queries meet the searched side in a grid of blocks of bounded bytes, by matrix products over Arrow batches; a query keeps its k best
+    of each block, and the blocks' winners are ranked at the end. Vectors come from a column of arrays, or from an encoder on the
+    distinct texts.
     """
 
     fields: list[Field]
@@ -273,7 +275,7 @@ class Embeddings(Pass):
     reverse: bool = False
     encoder: object = None
     options: dict = field(default_factory=dict)
-    BLOCK = 100_000
+    BLOCK_BYTES = 64 << 20
 
     def to_config(self) -> dict:
         return _config("embeddings", self, k=self.k, min_sim=self.min_sim, reverse=self.reverse, **self.options) | {"reconstructable": self.encoder is None}
@@ -303,49 +305,20 @@ class Embeddings(Pass):
         return good.select("id", unit.alias("v"), *g)
 
     def pairs(self, left, right, groups=()):
-        import numpy as np
-        import pandas as pd
-
         _check(left, right, self.fields)
         g = list(groups)
         a, b = self._vectors(left, [f.left for f in self.fields], g), self._vectors(right, [f.right for f in self.fields], g)
         if self.reverse:
             a, b = b, a
         gkey = F.concat_ws("\x1f", *g) if g else F.lit("")
-        b, a = b.select("id", "v", gkey.alias("gk")), a.select("id", "v", gkey.alias("gk"))
-        blocks = max(1, -(-b.count() // self.BLOCK))
-        id_b, id_a, k, least = b.schema["id"].dataType.simpleString(), a.schema["id"].dataType.simpleString(), self.k, self.min_sim
-        parts = []
-        for n in range(blocks):
-            rows = (b if blocks == 1 else b.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n)).orderBy("id").toPandas()
-            shared = left.sparkSession.sparkContext.broadcast((rows["id"].to_numpy(), np.array(rows["v"].to_list() or np.empty((0, 1))), rows["gk"].to_numpy()))
-
-            def search(batches, shared=shared):
-                ids, mat, gk = shared.value
-                for batch in batches:
-                    out = []
-                    for at in range(0, len(batch), 256):
-                        part = batch.iloc[at : at + 256]
-                        if not len(ids):
-                            continue
-                        sims = np.round(np.clip(np.array(part["v"].to_list()) @ mat.T, -1, 1), 12)
-                        for i, (lid, lg) in enumerate(zip(part["id"], part["gk"])):
-                            ok = np.flatnonzero((sims[i] >= least) & (gk == lg))
-                            if len(ok) > k:
-                                edge = np.partition(sims[i][ok], len(ok) - k)[len(ok) - k]
-                                ok = ok[sims[i][ok] >= edge]
-                                ok = ok[np.argsort(-sims[i][ok], kind="stable")][:k]
-                            out += [(lid, ids[j], float(sims[i][j])) for j in ok]
-                    yield pd.DataFrame(out, columns=["a", "b", "s"])
-
-            parts.append(a.mapInPandas(search, f"a {id_a}, b {id_b}, s double"))
-        found = parts[0]
-        for p in parts[1:]:
-            found = found.unionByName(p)
-        if blocks > 1:
-            from pyspark.sql import Window as W
-
-            found = found.withColumn("_k", F.row_number().over(W.partitionBy("a").orderBy(F.desc("s"), "b"))).where(F.col("_k") <= k)
+        scratch = Scratch(left.sparkSession, "vectors")
+        b, a = (scratch.cut(d.select("id", "v", gkey.alias("gk"))) for d in (b, a))
+        size = b.select(F.size("v").alias("n")).first()
+        block = max(256, self.BLOCK_BYTES // (8 * (size[0] if size else 1)))
+        k, least = self.k, self.min_sim
+        schema = T.StructType([T.StructField("a", a.schema["id"].dataType), T.StructField("b", b.schema["id"].dataType), T.StructField("s", T.DoubleType())])
+        found = over_cells(a, b, ["gk"] if g else [], ["id"], lambda held: VectorIndex(held, k, least, schema.names), schema, block)
+        found = found.withColumn("_k", F.row_number().over(W.partitionBy("a").orderBy(F.desc("s"), "b"))).where(F.col("_k") <= k)
         return found.select(F.col("b").alias("l"), F.col("a").alias("r")) if self.reverse else found.select(F.col("a").alias("l"), F.col("b").alias("r"))
 
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.types import StructType
 
 from kindred.functions.text import text_grams, word_grams
+from kindred.operators.grid import BLOCK, PLACES, GramIndex, flat, over_cells
 from kindred.scratch import Scratch
 
-#: Cosines are rounded to this many places before ranking, since float sums depend on the order of rows.
-PLACES = 12
-
 
 def clip_cosine(c: Column) -> Column:
     """A cosine within 0 and 1, exactly 1 when it is closer than the rounding error."""
@@ -43,75 +45,101 @@ def gram_weights(left: DataFrame, right: DataFrame, low: int, high: int, groups:
     return unit.where("_l").drop("_l", "_r"), unit.where("_r").drop("_l", "_r")
 
 
-def text_cosines(lw: DataFrame, rw: DataFrame, groups: list[str] = ()) -> DataFrame:
-    """(lt, rt, groups, sim) of all text pairs that share a gram."""
-    g = list(groups)
-    a, b = lw.withColumnsRenamed({"text": "lt", "w": "wl"}), rw.withColumnsRenamed({"text": "rt", "w": "wr"})
-    return a.join(b, ["gram", *g]).groupBy("lt", "rt", *g).agg(clip_cosine(F.sum(F.col("wl") * F.col("wr"))).alias("sim"))
-
-
-#: Texts of one block of the searched side: its postings (about 60 grams a text) stay near 50 MB on an executor and on the driver.
-BLOCK = 50_000
-
-
-def nearest_texts(left: DataFrame, right: DataFrame, lw: DataFrame, rw: DataFrame, k: int, min_sim: float, groups: list[str] = (), block: int = BLOCK) -> DataFrame:
-    """(lt, rt, groups, sim) of at least the texts that can hold a left text's k best rows, exactly.
-
-    Common grams make nearly all pairs share something, so joining postings would write out a table of nearly all pairs. Instead the
-    searched side travels in blocks of a fixed number of texts as an inverted index of arrays, and every left text adds up its
-    grams' postings in place and keeps the best k of the block, ties by the text's smallest ID: work like a sparse product, a
-    result of k rows a text and block, and only distinct texts with their vectors move. Grams are known by their 64-bit hash.
-    """
-    import numpy as np
-    import pandas as pd
-
+def vectors(left: DataFrame, right: DataFrame, low: int, high: int, groups: list[str] = (), whole_text: bool = False, scratch: Scratch | None = None) -> DataFrame:
+    """(text, groups, h, w, _l, _r): the unit vectors of gram_weights() as arrays, one row a distinct text: grams by their 64-bit hash, in
+    order, their weights, and the sides that have the text."""
+    g, spark = list(groups), left.sparkSession
+    scratch = scratch or Scratch(spark, "vectors")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    grams = (text_grams if whole_text else word_grams)(F.col("text"), low, high)
+    count = lambda d, l: d.groupBy("text", *g).agg(F.count(F.lit(1)).alias("_n")).withColumns({"_l": F.lit(l), "_r": F.lit(not l)})
+    texts = count(left, True).unionByName(count(right, False)).groupBy("text", *g).agg(F.sum("_n").alias("_n"), F.max("_l").alias("_l"), F.max("_r").alias("_r"))
+    # few bytes of text become many grams: a number of tasks that size estimates may not shrink
+    hashed = texts.repartition(tasks, "text", *g).withColumn("_grams", grams).withColumn("_hs", F.transform("_grams", lambda x: F.xxhash64(x, *g))).drop("_grams")
+    kept = StructType([f for f in hashed.schema.fields if f.name != "_hs"])
+    schema = StructType([*kept.fields, T.StructField("h", T.ArrayType(T.LongType())), T.StructField("tf", T.ArrayType(T.LongType()))])
+
+    def tally(batches):
+        for b in batches:
+            h, at = flat(b.column("_hs"))
+            row = np.repeat(np.arange(b.num_rows), np.diff(at))
+            order = np.lexsort((h, row))
+            h, row = h[order], row[order]
+            first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1]))) if len(h) else np.empty(0, np.int64)
+            offsets = pa.array(np.append(0, np.cumsum(np.bincount(row[first], minlength=b.num_rows))).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (h[first], np.diff(np.append(first, len(h))))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept.names), *lists], names=schema.names)
+
+    rows = scratch.cut(hashed.mapInArrow(tally, schema).withColumn("_id", F.monotonically_increasing_id()))
+    total = texts.groupBy(*g).agg(F.sum("_n").alias("_total"))
+    df = rows.select(*g, "_n", F.explode("h").alias("h")).groupBy("h", *g).agg(F.sum("_n").alias("_df"))
+    df = df.join(total, g) if g else df.crossJoin(F.broadcast(total))  # one row without groups
+    idf = (F.log((1.0 + F.col("_total")) / (1.0 + F.col("_df"))) + 1.0).alias("_idf")
+    each = rows.select("_id", F.explode(F.arrays_zip("h", "tf")).alias("x")).select("_id", "x.h", "x.tf")
+    each = each.join(df.select("h", idf), "h").select("_id", "h", (F.col("tf") * F.col("_idf")).alias("w"))
+    packed = each.repartition(tasks, "_id").sortWithinPartitions("_id", "h").mapInArrow(_pack, "_id long, h array<long>, w array<double>")
+    return packed.join(rows.drop("h", "tf", "_n"), "_id").select("text", *g, "h", "w", "_l", "_r")
+
+
+def _pack(batches):
+    """Sorted rows (_id, h, w) as one row an _id, the weights brought to length 1. Only the last _id of a batch waits for the next one."""
+    held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+
+    def rows(ids, h, w):
+        first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.empty(0, np.int64)
+        offsets = np.append(first, len(ids))
+        w = w / np.repeat(np.sqrt(np.add.reduceat(w * w, first)) if len(first) else np.empty(0), np.diff(offsets))
+        lists = [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(x)) for x in (h, w)]
+        return pa.RecordBatch.from_arrays([pa.array(ids[first]), *lists], names=["_id", "h", "w"])
+
+    for b in batches:
+        mine = [np.concatenate([x, c.to_numpy(zero_copy_only=False)]) for x, c in zip(held, b.columns)]
+        cut = int(np.searchsorted(mine[0], mine[0][-1])) if len(mine[0]) else 0
+        yield rows(*(x[:cut] for x in mine))
+        held = [x[cut:] for x in mine]
+    yield rows(*held)
+
+
+def packed_cosines(pairs: DataFrame, schema: str) -> DataFrame:
+    """Adds sim to rows with two packed vectors (ha, wa) and (hb, wb), which it drops; a missing vector gives 0. ``schema`` names the
+    columns that stay."""
+
+    def run(batches):
+        for b in batches:
+            n = b.num_rows
+            keys, rows, weights = [], [], []
+            for h, w in (("ha", "wa"), ("hb", "wb")):
+                x, at = flat(b.column(h))
+                keys.append(x)
+                rows.append(np.repeat(np.arange(n), np.diff(at)))
+                weights.append(flat(b.column(w))[0])
+            key, row, weight = map(np.concatenate, (keys, rows, weights))
+            order = np.lexsort((key, row))
+            key, row, weight = key[order], row[order], weight[order]
+            both = np.flatnonzero((key[1:] == key[:-1]) & (row[1:] == row[:-1]))  # a gram is in a vector once
+            sim = np.bincount(row[both], weight[both] * weight[both + 1], n)
+            keep = [c for c in b.schema.names if c not in ("ha", "wa", "hb", "wb")]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(sim)], names=[*keep, "sim"])
+
+    return pairs.mapInArrow(run, schema + ", sim double").withColumn("sim", clip_cosine(F.col("sim")))
+
+
+def nearest_texts(left: DataFrame, right: DataFrame, packed: DataFrame, k: int, min_sim: float, groups: list[str] = (), reverse: bool = False, block: int = BLOCK) -> DataFrame:
+    """(lt, rt, groups, sim) of at least the texts that can hold a left text's k best rows, exactly; ``packed`` is vectors() of both
+    sides. ``reverse`` searches left texts for every right one.
+
+    Common grams make nearly all pairs share something, so postings are not joined: texts meet in a grid of blocks, and each block's
+    index is searched rare grams first (see GramIndex). A result has k rows a text and block, ties by the text's smallest ID."""
     g = list(groups)
-    vector = F.array_sort(F.collect_list(F.struct(F.xxhash64("gram", *g).alias("h"), F.col("w"))))  # one text's grams
-    pack = lambda d: d.groupBy("text", *g).agg(vector.alias("v")).select("text", *g, F.col("v.h").alias("h"), F.col("v.w").alias("w"))
-    first = right.groupBy("text", *g).agg(F.min("id").alias("first"))
-    a, b = pack(lw), pack(rw).join(first, ["text", *g])
-    count = first.count()
-    blocks = max(1, -(-count // block))
-    schema = ", ".join(["lt string", *(f"`{x}` string" for x in g), "rt string", "sim double"])
-    parts = []
-    for n in range(blocks):
-        rows = (b if blocks == 1 else b.where(F.pmod(F.xxhash64("text", *g), F.lit(blocks)) == n)).orderBy("first", "text").toPandas()
-        sizes = rows["h"].map(len).to_numpy(dtype=np.int64) if len(rows) else np.empty(0, np.int64)
-        hashes = np.concatenate([*map(np.asarray, rows["h"])]).astype(np.int64) if len(rows) else np.empty(0, np.int64)
-        weights = np.concatenate([*map(np.asarray, rows["w"])]).astype(np.float64) if len(rows) else np.empty(0)
-        owner = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
-        order = np.argsort(hashes, kind="stable")
-        known, start = np.unique(hashes[order], return_index=True)
-        shared = left.sparkSession.sparkContext.broadcast((rows["text"].to_numpy(), known, np.append(start, len(hashes)), owner[order], weights[order]))
-
-        def search(batches, shared=shared):
-            texts, known, start, owner, weights = shared.value
-            total = np.zeros(len(texts))
-            for batch in batches:
-                out = []
-                for text, *mine, h, w in zip(*(batch[c] for c in ("text", *g, "h", "w"))):
-                    if not len(known):
-                        break
-                    total[:] = 0
-                    h, w = np.asarray(h), np.asarray(w)
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    for i in np.flatnonzero(known[at] == h):
-                        lo, hi = start[at[i]], start[at[i] + 1]
-                        total[owner[lo:hi]] += w[i] * weights[lo:hi]
-                    sims = np.round(total, PLACES)
-                    ok = np.flatnonzero((sims >= min_sim) & (sims > 0))
-                    if len(ok) > k:
-                        edge = np.partition(sims[ok], len(ok) - k)[len(ok) - k]
-                        ok = ok[sims[ok] >= edge]
-                        ok = ok[np.argsort(-sims[ok], kind="stable")][:k]
-                    out += [(text, *mine, texts[j], float(sims[j])) for j in ok]
-                yield pd.DataFrame(out, columns=["lt", *g, "rt", "sim"])
-
-        parts.append(a.mapInPandas(search, schema))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("sim", clip_cosine(F.col("sim")))
+    mine, theirs, items = ("_r", "_l", left) if reverse else ("_l", "_r", right)
+    first = items.groupBy("text", *g).agg(F.min("id").alias("first"))
+    cols = ["text", *g, "first", "h", "w"]
+    a = packed.where(mine).withColumn("first", F.lit(None).cast(first.schema["first"].dataType)).select(*cols)
+    b = packed.where(theirs).join(first, ["text", *g]).select(*cols)
+    schema = T.StructType([T.StructField("lt", T.StringType()), *(T.StructField(x, packed.schema[x].dataType) for x in g), T.StructField("rt", T.StringType()), T.StructField("sim", T.DoubleType())])
+    names = schema.names
+    found = over_cells(a, b, g, ["first", "text"], lambda held: GramIndex(held, k, min_sim, g, names), schema, block)
+    return found.withColumn("sim", clip_cosine(F.col("sim")))
 
 
 def nearest(left: DataFrame, right: DataFrame, cosines: DataFrame, k: int, min_sim: float, reverse: bool, groups: list[str] = ()) -> DataFrame:

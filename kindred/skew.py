@@ -26,3 +26,12 @@ def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], hot: DataFra
         .drop("_hot")
     )
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+    """rows with the columns of a table that has one row per key, hot keys salted by the hash of ``spread``. The hot keys are found in the
+    plan itself, by counts that are combined before the shuffle: nothing is run ahead."""
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = rows.agg(F.count(F.lit(1)).alias("_total"))
+    hot = counts.crossJoin(F.broadcast(total)).where(F.col("_n") > F.greatest(F.floor(F.col("_total") / HOT_SHARE), F.lit(1000)))  # one row; at most HOT_SHARE rows
+    return salted_join(rows, table, [key], hot.select(key), spread, how)
