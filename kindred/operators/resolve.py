@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 import warnings
-from collections import defaultdict
-from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindred.operators.assignment import assign
 from kindred.operators.components import connected_components
 from kindred.scratch import Scratch
+from kindred.skew import lookup
 
 HOW = ("many-to-many", "many-to-one", "one-to-many", "one-to-one")
-#: A component with more records on a side is matched greedily, with a warning.
+#: A component with more records on a side is matched greedily, with a warning; resolve() takes another limit as ``side_limit``.
 SIDE_LIMIT = 2000
-BUCKETS = 64
+#: Pairs of small components that one task takes together.
+PACK = 5_000
 
 
 def number(value: object, label: str, probability: bool = False) -> float:
@@ -67,83 +68,11 @@ def with_margin(scores: DataFrame) -> DataFrame:
         return F.when(F.col("p").isNull(), None).when((F.col("p") == p1) & (n1 == 1), p2).otherwise(p1)
 
     for side, prefix in (("left_id", "l"), ("right_id", "r")):
-        s = s.join(best(side).withColumnsRenamed({c: prefix + c for c in ("_p1", "_n1", "_p2")}), side, "left")
+        s = lookup(s, best(side).withColumnsRenamed({c: prefix + c for c in ("_p1", "_n1", "_p2")}), side, "right_id" if side == "left_id" else "left_id", "left")
     s = s.withColumn("margin", F.col("p") - F.greatest(rival("l"), rival("r")))
     return s.select(*scores.columns, "margin")
 
 
-def _solve(edges: list[tuple]) -> list[int]:
-    """Indices of the matching of largest sum of p, then of sim, then with the earliest pairs, exactly.
-
-    Pairs are (left, right, p, sim) with comparable left and right. Values are scaled to whole numbers, and the three goals become
-    one: w = (p * (rows + 1) * unit + sim) as a big integer, then a tie bonus of 2**-rank, again as an integer. Best augmenting
-    paths by Bellman-Ford on the residual graph, until no path gains.
-    """
-    lefts, rights = sorted({e[0] for e in edges}), sorted({e[1] for e in edges})
-    n = min(len(lefts), len(rights))
-    unit = 1
-    for _, _, p, s in edges:
-        for v in (p, s):
-            unit = max(unit, Fraction(v).denominator)
-    order = sorted(range(len(edges)), key=lambda i: (edges[i][0], edges[i][1]))
-    bonus = {i: 1 << (len(edges) - 1 - k) for k, i in enumerate(order)}
-    most = 1 << len(edges)
-    weight = {}
-    for i, (_, _, p, s) in enumerate(edges):
-        main = int(Fraction(p) * unit) * (n * unit + 1) + int(Fraction(s) * unit)
-        weight[i] = main * most + bonus[i]
-    by_left = defaultdict(list)
-    for i, (a, b, _, _) in enumerate(edges):
-        by_left[a].append((b, i))
-    mate_l: dict = {}
-    mate_r: dict = {}
-    while True:
-        gain = {a: 0 for a in lefts if a not in mate_l}
-        via: dict = {}
-        best, end = 0, None
-        queue = list(gain)
-        while queue:
-            nxt = []
-            for a in queue:
-                for b, i in by_left[a]:
-                    if mate_l.get(a) == i:
-                        continue
-                    g = gain[a] + weight[i]
-                    j = mate_r.get(b)
-                    if j is None:
-                        if g > best:
-                            best, end = g, i
-                            via_end = dict(via)
-                    else:
-                        g -= weight[j]
-                        other = edges[j][0]
-                        if other not in gain or g > gain[other]:
-                            gain[other], via[other] = g, i
-                            nxt.append(other)
-                        if g > best:  # the displaced record may stay alone
-                            best, end = g, ("drop", other)
-                            via_end = dict(via)
-            queue = nxt
-        if end is None:
-            break
-        i = None
-        if isinstance(end, tuple):
-            cur = end[1]
-            del mate_l[cur]
-            i = via_end[cur]
-        else:
-            i = end
-        while True:
-            a, b = edges[i][0], edges[i][1]
-            previous = mate_l.get(a)
-            mate_l[a], mate_r[b] = i, i
-            if previous is None:
-                break
-            i = via_end[a]
-        mate_r = {edges[j][1]: j for j in mate_l.values()}
-    return sorted(mate_l.values())
-
-
 def _greedy(edges: list[tuple]) -> list[int]:
     used_l, used_r, out = set(), set(), []
     for i in sorted(range(len(edges)), key=lambda i: (-edges[i][2], -edges[i][3], edges[i][0], edges[i][1])):
@@ -162,12 +91,17 @@ def match_component(edges: list[tuple], limit: int = SIDE_LIMIT) -> list[int]:
     if max(len(lefts), len(rights)) > limit:
         warnings.warn(f"a component has more than {limit} records on a side; its pairs were matched greedily", RuntimeWarning, stacklevel=2)
         return _greedy(edges)
-    return _solve(edges)
+    return assign(edges)
+
+
+def packs(pairs: int) -> int:
+    """How many tasks' worth of components there are: packs grow with the data, so a pack stays near PACK pairs."""
+    return max(1, -(-pairs // PACK))
 
 
-def _one_to_one(strong: DataFrame, scratch: Scratch) -> DataFrame:
-    """(left_id, right_id) of the assignment. Pairs whose two records meet in no other pair are settled in the JVM; the other
-    components are bucketed and solved one after the other inside a bucket."""
+def _one_to_one(strong: DataFrame, scratch: Scratch, limit: int) -> DataFrame:
+    """(left_id, right_id) of the assignment. Pairs whose two records meet in no other pair are settled in the JVM; small components
+    are packed, about PACK pairs together, and solved one after the other inside a pack."""
     deg_l, deg_r = strong.groupBy("left_id").agg(F.count(F.lit(1)).alias("_dl")), strong.groupBy("right_id").agg(F.count(F.lit(1)).alias("_dr"))
     s = scratch.cut(strong.join(deg_l, "left_id").join(deg_r, "right_id").select("left_id", "right_id", "p", "sim", "_dl", "_dr"))
     alone = s.where("_dl = 1 and _dr = 1").select("left_id", "right_id")
@@ -175,24 +109,25 @@ def _one_to_one(strong: DataFrame, scratch: Scratch) -> DataFrame:
     ends = hard.select(F.concat(F.lit("l"), F.col("left_id").cast("string")).alias("a"), F.concat(F.lit("r"), F.col("right_id").cast("string")).alias("b"), "left_id", "right_id", "p", "sim")
     comp = connected_components(ends, "a", "b", scratch=scratch)
     member = ends.join(comp.withColumnRenamed("node", "a"), "a").select("left_id", "right_id", "p", "sim", "component")
-    # a component with more than SIDE_LIMIT records on a side takes locally best pairs instead, without being gathered
+    # a component with more than ``limit`` records on a side takes locally best pairs instead, without being gathered
     size = member.groupBy("component").agg(F.count_distinct("left_id").alias("nl"), F.count_distinct("right_id").alias("nr"))
-    member = scratch.cut(member.join(size, "component").withColumn("big", F.greatest("nl", "nr") > SIDE_LIMIT).drop("nl", "nr"))
+    member = scratch.cut(member.join(size, "component").withColumn("big", F.greatest("nl", "nr") > limit).drop("nl", "nr"))
     kinds = {c: hard.schema[c].dataType.simpleString() for c in ("left_id", "right_id")}
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, part in pdf.groupby("component", sort=True):
             edges = list(zip(part["left_id"], part["right_id"], part["p"], part["sim"]))
-            out += [edges[i][:2] for i in match_component(edges)]
+            out += [edges[i][:2] for i in match_component(edges, limit)]
         return pd.DataFrame(out, columns=["left_id", "right_id"])
 
-    exact = member.where("not big").withColumn("_b", F.pmod(F.xxhash64("component"), F.lit(BUCKETS)))
-    exact = exact.groupBy("_b").applyInPandas(solve, f"left_id {kinds['left_id']}, right_id {kinds['right_id']}")
-    big = member.where("big")
-    if big.limit(1).count():
-        warnings.warn(f"a component has more than {SIDE_LIMIT} records on a side; its pairs were matched greedily", RuntimeWarning, stacklevel=3)
-    return alone.unionByName(exact).unionByName(greedy_matching(big, scratch))
+    small, large = member.agg(F.count(F.when(~F.col("big"), 1)), F.count(F.when(F.col("big"), 1))).first()
+    exact = member.where("not big").withColumn("_b", F.pmod(F.xxhash64("component"), F.lit(packs(small))))
+    found = alone.unionByName(exact.groupBy("_b").applyInPandas(solve, f"left_id {kinds['left_id']}, right_id {kinds['right_id']}"))
+    if not large:
+        return found
+    warnings.warn(f"a component has more than {limit} records on a side; its pairs were matched greedily", RuntimeWarning, stacklevel=3)
+    return found.unionByName(greedy_matching(member.where("big"), scratch))
 
 
 def greedy_matching(pairs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -212,12 +147,13 @@ def greedy_matching(pairs: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
-def resolve(scores: DataFrame, *, how: str = "one-to-one", threshold: float = 0.5, min_margin: float | None = None, check: bool = False, scratch: Scratch | None = None) -> DataFrame:
+def resolve(scores: DataFrame, *, how: str = "one-to-one", threshold: float = 0.5, min_margin: float | None = None, check: bool = True, side_limit: int = SIDE_LIMIT, scratch: Scratch | None = None) -> DataFrame:
     """Links under a cardinality rule: the scored pairs with p >= threshold that the rule keeps, with their margin over all scored pairs.
 
     many-to-many keeps all, many-to-one the best right of each left, one-to-many the best left of each right, by (p desc, sim desc,
-    IDs); one-to-one maximises the sum of p, then of sim, then prefers the earliest pairs. The margin filter runs after
-    assignment and nothing is matched again; a null margin passes.
+    IDs); one-to-one maximises the sum of p, then of sim, then prefers the earliest pairs; components of more than ``side_limit``
+    records on a side are matched greedily, with a warning. The margin filter runs after assignment and nothing is matched again; a
+    null margin passes. ``check`` refuses missing IDs, repeated pairs and numbers out of range (two aggregations).
     """
     if how not in HOW:
         raise ValueError(f"`how` must be one of {', '.join(HOW)}; got {how!r}")
@@ -229,7 +165,7 @@ def resolve(scores: DataFrame, *, how: str = "one-to-one", threshold: float = 0.
     if how == "one-to-one":
         scratch = scratch or Scratch(scores.sparkSession, "resolve")
         strong = scratch.cut(strong)
-        strong = strong.join(_one_to_one(strong, scratch), ["left_id", "right_id"])
+        strong = strong.join(_one_to_one(strong, scratch, side_limit), ["left_id", "right_id"])
     elif how != "many-to-many":
         side = "left_id" if how == "many-to-one" else "right_id"
         w = Window.partitionBy(side).orderBy(F.desc("p"), F.desc("sim"), "left_id", "right_id")

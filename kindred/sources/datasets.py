@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindred.sources.files import read_text, write_text
+
 
 def validate_dataset(left: DataFrame, right: DataFrame, truth: DataFrame) -> DataFrame:
     """One row: sizes, repeated and missing IDs of both sides, repeated true pairs and true pairs of unknown records."""
@@ -31,12 +32,12 @@ def write_dataset(folder: str, left: DataFrame, right: DataFrame, truth: DataFra
         raise ValueError(f"the dataset has faults: {faults}")
     for name, df in (("left", left), ("right", right), ("truth", truth)):
         df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
-    Path(folder, "meta.json").write_text(json.dumps(meta | {"validation": counts}, indent=1, sort_keys=True))
+    write_text(left.sparkSession, f"{folder}/meta.json", json.dumps(meta | {"validation": counts}, indent=1, sort_keys=True))
     return counts
 
 
 def load_dataset(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, dict]:
-    return *(spark.read.parquet(f"{folder}/{n}.parquet") for n in ("left", "right", "truth")), json.loads(Path(folder, "meta.json").read_text())
+    return *(spark.read.parquet(f"{folder}/{n}.parquet") for n in ("left", "right", "truth")), json.loads(read_text(spark, f"{folder}/meta.json"))
 
 
 def sample_left(left: DataFrame, truth: DataFrame, n: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:

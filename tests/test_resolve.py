@@ -139,3 +139,31 @@ def test_history_chains():
     for bad in ([e("1", None), e("2", None)], [e("2", "1")], [e("1", None, decision="maybe")], [e("1", None), e("1", "1")]):
         with pytest.raises(ValueError):
             check_history(bad)
+
+
+@pytest.mark.parametrize("count", [True, False])
+def test_linkage_by_rounds_equals_one_by_one(spark, count):
+    from pyspark.sql import functions as F
+
+    from kindred.operators.cluster import linkage_rounds
+    from kindred.scratch import Scratch
+
+    rng = random.Random(7)
+    pairs = [(f"{g}{a}", f"{g}{b}", rng.choice([None, 0.1, 0.5, 0.75, 0.9, 1.0])) for g in "xyz" for a, b in itertools.combinations(range(6), 2) if rng.random() < 0.8]
+    df = spark.createDataFrame(pairs, "left_id string, right_id string, p double").withColumn("component", F.substring("left_id", 1, 1))
+    got = {r.id: r.cluster for r in linkage_rounds(df, 0.5, count, Scratch(spark)).collect()}
+    assert got == average_linkage(pairs, 0.5, count)
+
+
+def test_large_component_is_solved_exactly():
+    rng = random.Random(3)
+    pairs = sorted({(rng.randrange(1900), rng.randrange(1900)) for _ in range(100_000)})
+    e = [(a, b, rng.uniform(0.5, 1), rng.random()) for a, b in pairs]
+    from kindred.operators.assignment import Assignment, _whole_weights
+
+    made = Assignment(e, _whole_weights(e))
+    best = made.earliest()
+    # prices that cover every pair prove that no matching weighs more
+    assert all(made.up[a] + made.down[b] >= w for (a, b, *_), w in zip(e, made.weights))
+    assert sum(made.weights[i] for i in best) == sum(made.up.values()) + sum(made.down.values())
+    assert len({e[i][0] for i in best}) == len({e[i][1] for i in best}) == len(best)
