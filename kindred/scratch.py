@@ -9,7 +9,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import warnings
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
@@ -40,11 +42,11 @@ class Scratch:
         self._n = 0
         atexit.register(self.clear)
 
-    def cut(self, df: DataFrame) -> DataFrame:
-        """Write df and return a DataFrame over what was written; ``df.path`` of the result is its folder."""
+    def cut(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        """Write df, with a folder a value of the column ``by`` if given, and return a DataFrame over what was written."""
         self._n += 1
         path = f"{self.root}/{self._n:04d}"
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -56,10 +58,15 @@ class Scratch:
                 self._delete(path)
 
     def clear(self) -> None:
+        """Delete all tables of the run; after the session's end the cluster's own cleaning has to do it."""
+        context = self.spark.sparkContext
+        if context._jsc is None:
+            return
         try:
-            self._delete(self.root)
-        except Exception:  # the session may already be gone
-            pass
+            if not context._jsc.sc().isStopped():
+                self._delete(self.root)
+        except (Py4JError, OSError) as error:
+            warnings.warn(f"could not delete {self.root}: {error}", RuntimeWarning, stacklevel=2)
 
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
