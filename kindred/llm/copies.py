@@ -7,7 +7,8 @@ is a singleton without any shuffle; the possible repeats, true ones and a few fa
 form and grouped exactly. False positives therefore cost a little work and never a wrong copy.
 
 The map that travels to the executors is bounded by MAX_BITS. Larger inputs take several waves, each with the hashes of one
-range, so the false positive rate holds at any size.
+class, so the false positive rate holds at any size. A wave reads only its own rows, writes its possible repeats and drops its map
+before the next one begins: memory holds one map, and rows are written once and read twice whatever the number of waves.
 """
 
 from __future__ import annotations
@@ -108,9 +109,11 @@ def copies(df: DataFrame, key: str, canonical: list[Column], where: Column | Non
     rows = scratch.cut(rows.select(F.col(key).cast("string").alias("row_id"), whole.alias("form")).where("row_id is not null").withColumn("h", F.xxhash64("form")))
     total = rows.count()
     waves = max(1, -(-total * BITS_PER_ROW // max_bits))
+    if waves > 1:  # each wave's rows lie in a folder of their own, so that a wave reads nothing else
+        rows = scratch.cut(rows.withColumn("wave", F.pmod(F.shiftright("h", 3), F.lit(waves)).cast("int")), "wave")
     parts = []
     for wave in range(waves):
-        mine = rows if waves == 1 else rows.where(F.pmod(F.shiftright("h", 3), F.lit(waves)) == wave)
+        mine = rows if waves == 1 else rows.where(F.col("wave") == wave).drop("wave")
         bits = max(1 << 13, min(max_bits, -(-total * BITS_PER_ROW // waves)))
         known = df.sparkSession.sparkContext.broadcast(repeat_filter(mine.select("h"), bits))
 
@@ -120,11 +123,12 @@ def copies(df: DataFrame, key: str, canonical: list[Column], where: Column | Non
                 at = _places(batch.column("h").to_numpy(zero_copy_only=False), bits)
                 yield batch.filter(pa.array(np.logical_and.reduce([(again[p >> 3] >> (p & 7)) & 1 for p in at]).astype(bool)))
 
-        parts.append(mine.mapInArrow(probe, rows.schema))
+        # what is left is written before the filter goes, so one filter at a time is in memory
+        parts.append(scratch.cut(mine.mapInArrow(probe, mine.schema).select("row_id", "form")))
+        known.destroy()
     maybe = parts[0]
     for p in parts[1:]:
         maybe = maybe.unionByName(p)
-    maybe = scratch.cut(maybe.select("row_id", "form"))
     sets = scratch.cut(maybe.groupBy("form").agg(F.min("row_id").alias("first_id"), F.max("row_id").alias("_last"), F.count(F.lit(1)).alias("copies")).where("first_id <> _last").drop("_last"))
     hot = hot_keys(sets, ["form"], "copies", total)
     return salted_join(maybe, sets, ["form"], hot, "row_id").select("row_id", "first_id", "copies").distinct()
