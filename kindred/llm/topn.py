@@ -17,25 +17,25 @@ from kindred.scratch import Scratch
 from kindred.skew import hot_keys, salted_join
 
 SECTIONS = 32
-#: Identifiers that agree in this many chunks of 6 bytes, under equal scores, are told apart by an exact sort of just those rows.
+#: Chunks of 6 bytes that one pass of refinement sees; rows equal in all of them go on with the next chunks.
 CHUNKS = 8
 BIGGEST = 1.7976931348623157e308
 
 
-def _codes(item: str, scores: list[str], chunks: int) -> list:
+def _codes(item: str, scores: list[str], chunks: int, skip: int) -> list:
     finite = [F.greatest(F.least(-F.col(s), F.lit(BIGGEST)), F.lit(-BIGGEST)) + F.lit(0.0) for s in scores]
     data = F.encode(F.col(item), "UTF-8")
-    parts = [F.conv(F.rpad(F.hex(F.substring(data, 6 * k + 1, 6)), 12, "0"), 16, 10).cast("double") for k in range(chunks)]
+    parts = [F.conv(F.rpad(F.hex(F.substring(data, skip + 6 * k + 1, 6)), 12, "0"), 16, 10).cast("double") for k in range(chunks)]
     return [*finite, *parts]
 
 
-def top_n(rows: DataFrame, keys: list[str], item: str, scores: list[str], n: str, scratch: Scratch | None = None) -> DataFrame:
+def top_n(rows: DataFrame, keys: list[str], item: str, scores: list[str], n: str, scratch: Scratch | None = None, skip: int = 0) -> DataFrame:
     """(keys, item) of the best rows of each group: scores descending, then item ascending by its bytes.
 
     ``n`` is a column with the group's N, equal in all its rows. Items of a group must be distinct. The first score must be a
     number in every row (callers leave others out); nulls and NaN in later scores rank last. Infinite scores equal the largest
     double. Rows with a null key or item are left out. A group with fewer rows
-    gives them all; N < 1 gives none; an empty table gives an empty table.
+    gives them all; N < 1 gives none; an empty table gives an empty table. ``skip`` bytes of the identifiers are known to be equal.
     """
     scratch = scratch or Scratch(rows.sparkSession, "topn")
     spread = "_item"
@@ -47,7 +47,7 @@ def top_n(rows: DataFrame, keys: list[str], item: str, scores: list[str], n: str
     longest = src.agg(F.max(F.octet_length("_item"))).first()[0]
     if longest is None:
         return src.select(*keys, F.col("_item").alias(item))
-    codes = _codes("_item", [f"_s{i}" for i in range(len(scores))], min(CHUNKS, -(-longest // 6)))
+    codes = _codes("_item", [f"_s{i}" for i in range(len(scores))], max(1, min(CHUNKS, -(-(longest - skip) // 6))), skip)
     names = [f"_c{i}" for i in range(len(codes))]
     open_ = scratch.cut(src.select(*keys, "_item", "_n", *[c.alias(x) for c, x in zip(codes, names)]))
     scratch.drop(src)
@@ -100,8 +100,11 @@ def top_n(rows: DataFrame, keys: list[str], item: str, scores: list[str], n: str
     tied = ties[0]
     for t in ties[1:]:
         tied = tied.unionByName(t)
-    rest = tied.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_item"))).where("_r <= _n").select(*keys, "_item")
-    return out.unionByName(rest).withColumnRenamed("_item", item)
+    tied = scratch.cut(tied)
+    if skip + 6 * CHUNKS < longest and tied.limit(1).count():
+        # rows equal so far differ in later bytes only: the same refinement goes on there
+        tied = top_n(tied, keys, "_item", [], "_n", scratch, skip + 6 * CHUNKS)
+    return out.unionByName(tied.select(*keys, "_item")).withColumnRenamed("_item", item)
 
 
 def ranked_pairs(rows: DataFrame, list_name: str, group: str, item: str, n: int) -> DataFrame:
