@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+from kindred.scratch import Scratch
+
 # Characters of other scripts that look like an ASCII letter, by the letter, in the order of the alphabet.
 CYRILLIC = dict(
     zip(
@@ -29,14 +31,19 @@ CYRILLIC = dict(
 )
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳορνιαυϲγκ", "ABEZHIKMNOPTYXCjopviaucyk"))
 ARMENIAN = dict(zip("ՕՍօոսցհյզ", "OUonughjq"))
-OTHER = dict(zip("ıȷⅼꞌԀ", "ijl'd"))
+CHEROKEE = dict(zip("ᎪᏴᏟᎠᎬᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃ", "ABCDEHJKLMPRSTVWZ"))
+LISU = dict(zip("ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "ABCDEFGHIJKLMNOPRSTUVWXYZ"))
+COPTIC = dict(zip("ⲤⲎⲒⲔⲘⲚⲞⲢⲦⲨⲬⲟⲣⲥ", "CHIKMNOPTYXopc"))
+# Letters and signs of Latin itself that look like an ASCII letter or sign.
+OTHER = dict(zip("ıȷⅼꞌԀɑɡɩƖꓸ", "ijl'dagil."))
 SPACES = "               　"
 HYPHENS = "‐‑‒–—―−﹘﹣－⁃"
 INVISIBLE_EXTRA = "͏ᅟᅠ឴឵ㅤﾠ"  # letters and marks without ink
 
-LATIN_OF = {**CYRILLIC, **GREEK, **ARMENIAN}
-_HOME = {**dict.fromkeys(CYRILLIC, "Cyrl"), **dict.fromkeys(GREEK, "Grek"), **dict.fromkeys(ARMENIAN, "Armn")}
-FOREIGN_OF = {s: {v: k for k, v in reversed(list(table.items()))} for s, table in (("Cyrl", CYRILLIC), ("Grek", GREEK), ("Armn", ARMENIAN))}
+SCRIPTS = {"Cyrl": CYRILLIC, "Grek": GREEK, "Armn": ARMENIAN, "Cher": CHEROKEE, "Lisu": LISU, "Copt": COPTIC}
+LATIN_OF = {k: v for table in SCRIPTS.values() for k, v in table.items()}
+_HOME = {k: script for script, table in SCRIPTS.items() for k in table}
+FOREIGN_OF = {s: {v: k for k, v in reversed(list(table.items()))} for s, table in SCRIPTS.items()}
 _PLAIN = str.maketrans({**dict.fromkeys(SPACES, " "), **dict.fromkeys(HYPHENS, "-"), **OTHER})
 
 
@@ -50,7 +57,7 @@ def _script(ch: str) -> str | None:
     if not ch.isalpha():
         return None
     name = unicodedata.name(ch, "")
-    for word, code in (("LATIN", "Latn"), ("CYRILLIC", "Cyrl"), ("GREEK", "Grek"), ("ARMENIAN", "Armn")):
+    for word, code in (("LATIN", "Latn"), ("CYRILLIC", "Cyrl"), ("GREEK", "Grek"), ("ARMENIAN", "Armn"), ("CHEROKEE", "Cher"), ("LISU", "Lisu"), ("COPTIC", "Copt")):
         if name.startswith(word):
             return code
     return name.split(" ")[0] or None
@@ -139,10 +146,12 @@ def same_look(df: DataFrame, key: str, name: str) -> DataFrame:
     gives an empty result.
     """
     rows = df.select(F.col(key).cast("string").alias("id"), F.col(name).cast("string").alias("raw")).where("id is not null and raw is not null").distinct()
-    spellings = rows.select("raw").distinct().withColumn("form", visible_form(F.col("raw"))).where(F.trim("form") != "")
-    several = spellings.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("form")
-    kept = spellings.join(several, "form")
-    rows = rows.join(kept, "raw")
+    scratch = Scratch(df.sparkSession, "look")
+    # written once: the form is made once for each spelling
+    spellings = scratch.cut(rows.select("raw").distinct().withColumn("form", visible_form(F.col("raw"))))
+    several = spellings.where(F.trim("form") != "").groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("form")
+    kept = scratch.cut(spellings.join(several, "form"))
+    rows = scratch.cut(rows.join(kept, "raw"))
     # every pair of spellings, then the rows of both sides; the larger side of a pair of spellings is never repeated for itself
     pairs = kept.alias("x").join(kept.alias("y"), "form").where("x.raw < y.raw").select(F.col("x.raw").alias("ra"), F.col("y.raw").alias("rb"))
     a, b = rows.select(F.col("raw").alias("ra"), F.col("id").alias("ia")), rows.select(F.col("raw").alias("rb"), F.col("id").alias("ib"))
