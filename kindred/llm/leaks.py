@@ -38,7 +38,9 @@ AGREE = 0.6
 GAP = 2
 SHORTEST = 3
 BLOCK_WORDS = 2_000_000
-WORD = re.compile(r"\w+")
+#: A character of a script written without spaces is a word by itself.
+UNSPACED = r"\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\u0e00-\u0e7f"
+WORD = re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+")
 MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -207,12 +209,14 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
                             found_i.append(table.keys[n])
                 yield pa.RecordBatch.from_arrays([pa.array(found_k, out.field(0).type), pa.array(found_i, out.field(1).type)], schema=out)
 
-        parts.append(base.mapInArrow(run, kinds))
+        # a block's pairs are written before its table goes, so one table at a time is in memory
+        parts.append(scratch.cut(base.mapInArrow(run, kinds).distinct()))
+        shared.destroy()
     res = parts[0]
     for p in parts[1:]:
         res = res.unionByName(p)
     keys = src.join(texts, "_t").select(F.col("_first"), item_key)
-    return res.distinct().withColumnRenamed(item_key, "_first").join(keys, "_first").select(key, item_key)
+    return res.withColumnRenamed(item_key, "_first").join(keys, "_first").select(key, item_key)
 
 
 def _arrow(field) -> pa.DataType:
