@@ -34,11 +34,14 @@ SETTLED = 0.002
 PRIOR = 2.0
 LEAN = 0.02
 STEPS = 20
-#: The languages told apart, the most frequent ones; grades of either side of a cut that a language needs for cuts of its own.
+#: The languages told apart are those with grades enough for cuts of their own, ENOUGH on either side, and the TONGUES most frequent
+#: others, which only keep their texts from being taken for one of these. Codes have two letters, so there are never more than 676.
 TONGUES, ENOUGH = 24, 4
 CHANNELS = 3
 SLICE = 1 << 14
-WORD = re.compile(r"[^\W\d_]+")
+#: A character of a script written without spaces is a word by itself.
+UNSPACED = r"\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\u0e00-\u0e7f"
+WORD = re.compile(rf"[{UNSPACED}]|[^\W\d_{UNSPACED}]+")
 #: What counts as running prose: words enough, mostly of letters, not one passage over and over, with words known from graded prose.
 LEAST_WORDS = 12
 LEAST_LETTERS = 0.6
@@ -204,14 +207,17 @@ def reading_levels(
     fitted on at most fit_rows held-out grades, taken by hash (a documented bound); everything else covers all rows. The column
     lang may be null, wrong or in another notation: a text's language is the one that its words have in the corpus. A language
     with too few grades takes the cuts of all languages, on values brought to one mean and spread. A null, empty or wordless
-    text has the mean difficulty and is no prose. Repeated keys stay repeated. Without grades all difficulties are 0 and no
+    text has the mean difficulty and is no prose. A graded document keeps its readers' grade as its difficulty, and the band they agree
+    on; where they differ, the graph chooses between the bands they named. Repeated keys stay repeated. Without grades all difficulties are 0 and no
     document is above the lowest band.
     """
     scratch = Scratch(docs.sparkSession, "reading")
     grade = F.coalesce(*[F.when(F.lower(F.trim(band)) == b, F.lit(float(i))) for i, b in enumerate(bands)])
     grades = labels.select(F.col(label_key).alias(key), grade.alias("g")).where("g is not null").groupBy(key).agg(F.avg("g").alias("grade"))
     named = F.lower(F.regexp_extract(F.col(lang).cast("string"), r"^\s*([A-Za-z]{2})(?![A-Za-z])", 1))
-    tongues = [r[0] for r in docs.select(named.alias("t")).where("t <> ''").groupBy("t").count().orderBy(F.desc("count"), "t").limit(TONGUES).collect()]
+    by_tongue = docs.select(named.alias("t"), F.col(key)).where("t <> ''").join(grades, key, "left").groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.count("grade").alias("graded"))
+    known_tongues = sorted(by_tongue.collect(), key=lambda r: (r["graded"] < 2 * ENOUGH, -r["n"], r["t"]))  # two letters: 676 rows at most
+    tongues = [r["t"] for i, r in enumerate(known_tongues) if r["graded"] >= 2 * ENOUGH or i < TONGUES]
     number = F.coalesce(*[F.when(F.col("_lang") == t, F.lit(i)) for i, t in enumerate(tongues)], F.lit(None).cast("int"))
     # the edges are written once and never moved again
     graph = edges(docs.withColumn("_lang", named), key, text, "_lang").join(grades, key, "left").withColumn("tongue", number).drop("_lang")
@@ -259,4 +265,9 @@ def reading_levels(
                 own[t] = _cut(mine, crowds.get(t, {}))
         cut = F.coalesce(*[F.when(F.col("tongue") == t, F.lit(c)) for t, c in own.items()], F.lit(general))
         level = F.when(z >= cut, F.lit(bands[i])).otherwise(level)
-    return scored.select(key, F.col("v0").alias("difficulty"), level.alias("level"), prose.alias("prose"))
+    # a graded document keeps its grade; between two bands that its readers named the graph decides
+    rank = F.coalesce(*[F.when(F.col("_level") == b, F.lit(float(i))) for i, b in enumerate(bands)])
+    fixed = F.greatest(F.floor("grade"), F.least(F.ceil("grade"), rank))
+    out = scored.withColumn("_level", level)
+    named_level = F.coalesce(*[F.when(fixed == i, F.lit(b)) for i, b in enumerate(bands)], F.col("_level"))
+    return out.select(key, F.coalesce("grade", "v0").alias("difficulty"), named_level.alias("level"), prose.alias("prose"))
