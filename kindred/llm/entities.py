@@ -16,6 +16,10 @@ from kindred.scratch import Scratch
 #: Evidence of place and time: what agreement and conflict are worth. Years are off by a little, states are now and then wrong.
 CITY, CITY_OFF, STATE, STATE_OFF, YEAR, YEAR_OFF = 3.0, -4.0, 1.0, -1.0, 1.5, -1.0
 YEARS = 4
+#: What counts for two rows without any place or year whose names agree in nearly all words.
+BARE = 1.5
+#: A name that lacks more than one word of the other is no ground to join two groups.
+SURE = 0.85
 
 
 def profiles(df: DataFrame, table: str, key: str, name: str) -> DataFrame:
@@ -69,7 +73,7 @@ def candidates(profs: DataFrame, scratch: Scratch, across: tuple[str, str] | Non
     """(pa, pb, name_sim, score, strong) of profile pairs whose names do not contradict each other and whose places speak for them.
 
     Pairs meet on a stem within the radius and one thing of place or time, so a stem used everywhere never pairs with itself as
-    a whole. Two cities must agree, so rows with cities meet on near cities alone; where a city is missing, rows meet on the
+    a whole; rows that have neither place nor year meet by their names alone. Two cities must agree, so rows with cities meet on near cities alone; where a city is missing, rows meet on the
     state, a near year or an equal name: that is every pair that evidence() lets pass. With ``across`` = (left table, right
     table) pairs run from the one to the other, else within each table.
     """
@@ -84,25 +88,29 @@ def candidates(profs: DataFrame, scratch: Scratch, across: tuple[str, str] | Non
         return F.concat(F.array_compact(rest), F.coalesce(year, F.array().cast("array<string>")))
 
     gone, none = F.col("city").isNull(), F.array().cast("array<string>")
+    bare = gone & F.col("st").isNull() & F.col("year").isNull()
     # a row without city meets all rows on the keys marked 0; a row with one meets rows without on those marked 1, which within a
     # table would only give the same pairs in the other order
-    left = F.when(gone, loose("0", 0)).otherwise(F.concat(F.array(F.concat(F.lit("c"), F.col("city"))), loose("1", 0) if across else none))
-    right = F.concat(F.coalesce("towns", none), loose("0", YEARS), F.when(gone, loose("1", YEARS)).otherwise(none) if across else none)
+    # rows without any place or year meet each other on the stem alone: there is one such profile a name
+    left = F.when(bare, F.array(F.lit("z"), F.concat(F.lit("n0"), F.col("nc")))).when(gone, loose("0", 0)).otherwise(F.concat(F.array(F.concat(F.lit("c"), F.col("city"))), loose("1", 0) if across else none))
+    right = F.concat(F.coalesce("towns", none), loose("0", YEARS), F.when(gone, loose("1", YEARS)).otherwise(none) if across else none, F.when(bare, F.array(F.lit("z"))).otherwise(none))
     side = lambda df, x, what: df.select(*[F.col(c).alias(f"{x}_{c}") for c in cols], F.explode("stems").alias("stem"), what.alias("what")).select(*[f"{x}_{c}" for c in cols], "stem", F.explode("what").alias("key"))
     a, b = side(profs, "a", left), side(profs.join(towns, "city", "left"), "b", right)
     if across:
         a, b = a.where(F.col("a_tab") == across[0]), b.where(F.col("b_tab") == across[1])
     score, strong = evidence("a_", "b_")
+    nothing = lambda x: F.coalesce(F.col(f"{x}city"), F.col(f"{x}st"), F.col(f"{x}year").cast("string")).isNull()
+    bare = nothing("a_") & nothing("b_")
     sides = F.lit(True) if across else F.col("a_tab") == F.col("b_tab")
-    pair = ["a_p", "b_p", "a_nc", "b_nc", "score", "strong"]
+    pair = ["a_p", "b_p", "a_nc", "b_nc", "score", "strong", "bare"]
     # the exploded sides are larger than size estimates say: never broadcast them
     b = b.hint("merge")
     same = a.join(b, ["stem", "key"])
     other = a.withColumnRenamed("stem", "a").hint("merge").join(near, "a").withColumnRenamed("b", "stem").drop("a").join(b, ["stem", "key"])
-    met = same.unionByName(other.select(same.columns)).where(sides & (F.lit(True) if across else F.col("a_p") != F.col("b_p"))).withColumn("score", score).withColumn("strong", strong).where("score >= -1 and (score >= 1 or a_nc = b_nc)")
+    met = same.unionByName(other.select(same.columns)).where(sides & (F.lit(True) if across else F.col("a_p") != F.col("b_p"))).withColumn("score", score).withColumn("strong", strong).withColumn("bare", bare).where("score >= -1 and (score >= 1 or a_nc = b_nc or bare)")
     if not across:  # keys marked 0 are given to one side only, so such a pair may come in one order
         first = F.col("a_p") < F.col("b_p")
-        met = met.select(*[F.when(first, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a_p", "b_p"), ("b_p", "a_p"), ("a_nc", "b_nc"), ("b_nc", "a_nc"))], "score", "strong")
+        met = met.select(*[F.when(first, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a_p", "b_p"), ("b_p", "a_p"), ("a_nc", "b_nc"), ("b_nc", "a_nc"))], "score", "strong", "bare")
     met = scratch.cut(met.select(*pair).distinct())
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,11 +121,9 @@ def candidates(profs: DataFrame, scratch: Scratch, across: tuple[str, str] | Non
             yield out[out["name_sim"] > 0]
 
     names = met.select("a_nc", "b_nc").distinct().mapInPandas(judge, "a_nc string, b_nc string, name_sim double")
-    return scratch.cut(met.join(names, ["a_nc", "b_nc"]).select(F.col("a_p").alias("pa"), F.col("b_p").alias("pb"), "name_sim", "score", "strong"))
-
-
-#: A name that lacks more than one word of the other is no ground to join two groups.
-SURE = 0.85
+    met = met.join(names, ["a_nc", "b_nc"]).where(f"not bare or name_sim >= {SURE}")
+    # where neither side has any place or year, the whole name is all the evidence there can be
+    return scratch.cut(met.select(F.col("a_p").alias("pa"), F.col("b_p").alias("pb"), "name_sim", F.when(F.col("bare"), F.lit(BARE)).otherwise(F.col("score")).alias("score"), "strong"))
 
 
 def entities(profs: DataFrame, cand: DataFrame, scratch: Scratch) -> DataFrame:

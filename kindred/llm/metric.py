@@ -13,13 +13,16 @@ from pyspark.sql import functions as F
 
 from kindred.llm.names import distance
 
-#: Pivots, and the bounded sample they are chosen from; neither changes which pairs are found.
-PIVOTS, SAMPLE = 12, 600
+#: The most pivots, and the bounded sample they are chosen from; neither changes which pairs are found.
+PIVOTS, SAMPLE = 32, 300
 REACH = 2
+#: Keys of one string in one cell, and what checking one pair costs next to sending one key.
+KEYS, CHECK = 12, 0.25
 
 
 def pivots(strings: DataFrame, col: str, count: int = PIVOTS, sample: int = SAMPLE) -> list[str]:
-    """Far-apart strings: each next pivot is the sampled string furthest from the ones before."""
+    """Far-apart strings: each next pivot is the sampled string furthest from the ones before. How many of them are used is what the
+    sample says is least work."""
     pool = sorted(r[0] for r in strings.select(col).orderBy(F.xxhash64(col), col).limit(sample).collect())
     if not pool:
         return []
@@ -31,7 +34,30 @@ def pivots(strings: DataFrame, col: str, count: int = PIVOTS, sample: int = SAMP
         if best[far] == 0:
             break
         out.append(pool[far])
-    return out
+    return fewest(out, pool, strings.count())
+
+
+def fewest(ps: list[str], pool: list[str], total: int) -> list[str]:
+    """The first of the pivots, as many as give the least work for ``total`` strings like the sample: every further pivot repeats boundary
+    strings in more cells, and parts the pairs that share a third."""
+    if not ps or total < 2:
+        return ps[:1]
+    far = [[distance(x, p, 98) for p in ps] for x in pool]
+    parts: dict[tuple, list[int]] = {}
+    for i, x in enumerate(pool):
+        n = len(x)
+        for k, t in enumerate((x[: n // 3], x[n // 3 : n * 2 // 3], x[n * 2 // 3 :])):
+            parts.setdefault((n, k, t), []).append(i)
+    met = [(i, j) for rows in parts.values() for i in rows for j in rows if i != j]
+    best = None
+    for count in sorted({c for c in (1, 2, 4, 8, 16, len(ps)) if c <= len(ps)}):
+        cells = [{k for k in range(count) if d[k] <= min(d[:count]) + 2 * REACH} for d in far]
+        home = [d.index(min(d[:count])) for d in far]
+        sent = KEYS * sum(map(len, cells)) / len(pool)
+        checked = (total / len(pool)) * sum(home[i] in cells[j] for i, j in met) / len(pool)
+        if best is None or sent + CHECK * checked < best[0]:
+            best = (sent + CHECK * checked, count)
+    return ps[: best[1]]
 
 
 def allowed(a: Column, b: Column, short: int = 7) -> Column:
@@ -61,7 +87,8 @@ def radius_join(strings: DataFrame, col: str, short: int = 7) -> DataFrame:
         m = n - less
         ma, mb = third(m), third(m * 2)
         probes += [key(m, "f", F.substring(s, F.lit(1), ma)), key(m, "l", s.substr(n - (m - mb) + 1, m - mb))]
-        probes += [key(m, "m", s.substr(F.greatest(ma + 1 + shift, F.lit(1)), mb - ma)) for shift in (-1, 0, 1)]
+        # as many letters are lost before the middle third as behind it, so it has moved by 0 or by all that is missing, or one less
+        probes += [key(m, "m", s.substr(F.greatest(ma + 1 + shift, F.lit(1)), mb - ma)) for shift in range(max(-1, less - 1), 2)]
     cells = F.transform(F.filter("far", lambda x: x["d"] <= home["d"] + 2 * REACH), lambda x: x["i"])
     seek = src.select(s.alias("b"), F.explode(F.array_distinct(F.array(*probes))).alias("key"), cells.alias("cells")).select("b", "key", F.explode("cells").alias("cell"))
     near = F.levenshtein(F.col("a"), F.col("b"), REACH)
