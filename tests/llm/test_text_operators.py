@@ -65,6 +65,10 @@ def test_visible():
     assert resolved("Тоол")[0] == {"Cyrl"} and "Latn" in resolved("Сор")[0]
 
 
+def test_scripts_that_look_latin():
+    assert visible("ᎪᏴᏟ") == visible("ꓮꓐꓚ") == "ABC" and visible("ⲤⲞ") == "CO" and visible("ɑɡɩ") == "agi"
+
+
 def test_same_look(spark):
     rows = [("1", "Acme", 0), ("2", "Аcme", 0), ("3", "Acme", 0), ("4", "Ａcme", 0), ("5", None, 0), ("6", "​", 0), ("7", "", 0), ("8", "acme", 0), (None, "Аcme", 0), ("2", "Аcme", 0)]
     df = spark.createDataFrame(rows, "k string, n string, id_a int")
@@ -135,6 +139,25 @@ def test_leak_blocks_count_words_of_every_script(spark, monkeypatch):
     assert len(made) > 1 and all(total == 12 and all(n == 12 for w, n in c.items() if w in ("für", "été", "strasse")) and (not c or "été" in c) for c, total in made)
 
 
+def test_leaks_in_every_script_and_any_blocks(spark, monkeypatch):
+    import kindred.llm.leaks as L
+
+    rng = random.Random(6)
+    rows = []
+    for low, high, gap, n in ((97, 122, " ", 7), (0x430, 0x44F, " ", 7), (0x4E00, 0x4FFF, "", 1)):
+        shared = gap.join("".join(chr(rng.randrange(low, high)) for _ in range(n)) for _ in range(8))
+        rows += [shared + gap + gap.join("".join(chr(rng.randrange(low, high)) for _ in range(n)) for _ in range(14)) for _ in range(16)] + [shared]
+    rows += ["what is the name of the city where he was born"] * 4
+    items = spark.createDataFrame(list(enumerate(rows)), "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"before, {t}. after") for i, t in enumerate(rows)], "doc_id long, text string")
+    found = lambda: {tuple(r) for r in leaks(docs, "doc_id", "text", items, "item_id", "text").collect()}
+    one = found()
+    assert {(i, i) for i in range(len(rows))} <= one
+    assert {(len(rows) - 1, len(rows) - k) for k in (1, 2, 3, 4)} <= one
+    monkeypatch.setattr(L, "BLOCK_WORDS", 40)
+    assert found() == one
+
+
 def test_seed_masks_survive_a_replaced_word():
     t = Items([(1, ITEM)], {}, 1)
     ids = t.ids[0].copy()
@@ -161,6 +184,7 @@ def test_reading_levels(spark):
     right = sum(got[i].level == list(pools)[i % 4] for i in range(400) if i % 3)
     assert right > 0.9 * sum(1 for i in range(400) if i % 3)
     assert not any(got[i].prose for i in (900, 901, 902, 903))
+    assert all(got[i].level == b and got[i].difficulty == list(pools).index(b) for i, b, _ in labels if b)
     assert {r.level for r in reading_levels(d, "doc_id", "text", "lang", l.limit(0), *args).collect()} == {"easy"}
     assert reading_levels(d.limit(0), "doc_id", "text", "lang", l, *args).count() == 0
 
