@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from kindred.operators import passes as P
 from kindred.operators.audit import audit_sample, evaluate
 from kindred.operators.cluster import cluster, cluster_links
-from kindred.operators.judge import ColumnJudge
+from kindred.operators.judge import ColumnJudge, HttpJudge, JsonTransport, add_to_cache, question, read_cache
 from kindred.operators.resolve import HOW
 from kindred.operators.review import create_review, read_review
 from kindred.plans.linker import Linker, load
-from kindred.sources.tables import read_table, write_table
+from kindred.ranking import place
+from kindred.scratch import Scratch
+from kindred.sources.tables import read_table, stata_value_labels, write_table
 
 _WINDOW = re.compile(r"(?:(?P<low>[+-]?\d+(?:\.\d+)?)\.\.(?P<high>[+-]?\d+(?:\.\d+)?)|(?P<tol>\d+(?:\.\d+)?))(?P<unit>[wdhms])?")
 
@@ -76,7 +78,10 @@ def safe_outputs(inputs: list[str], outputs: list[str | None]) -> None:
 def _id(df: DataFrame, name: str | None) -> tuple[DataFrame, str]:
     if name:
         return df, name
-    return df.withColumn("_row", F.monotonically_increasing_id()), "_row"
+    # row numbers from 0 in the order of the file, written once so that every later read sees the same ones
+    scratch = Scratch(df.sparkSession, "rows")
+    rows = scratch.cut(df.withColumn("_at", F.monotonically_increasing_id()))
+    return scratch.cut(place(rows, ["_at"], "_row", scratch).withColumn("_row", F.col("_row") - 1).drop("_at")), "_row"
 
 
 def _emit(df: DataFrame, path: str | None) -> None:
@@ -95,7 +100,9 @@ def _rules(args) -> list[P.Pass] | None:
     return [block_rule(b, date_formats(args.date_format)) for b in args.block] if args.block else None
 
 
-def _judge(args):
+def _judge(args, ask: str = ""):
+    if getattr(args, "api", None):
+        return HttpJudge(JsonTransport(args.api, args.model), ask, args.model, args.api, args.jobs)
     return ColumnJudge(F.expr(args.judge), name=args.judge)
 
 
@@ -108,15 +115,25 @@ def _link(spark, args) -> None:
     rules = _rules(args)
     left, lid = _id(read_table(spark, args.left), args.left_id)
     right, rid = _id(read_table(spark, args.right), args.right_id)
-    linker = Linker(_judge(args), [column(c, True) for c in args.on], args.entity, args.define, rules, args.style, args.exact_shortcut, max_pairs=args.max_pairs)
+    linker = Linker(_judge(args, question(args.entity, args.define, args.style)), [column(c, True) for c in args.on], args.entity, args.define, rules, args.style, args.exact_shortcut, max_pairs=args.max_pairs)
     if args.command == "estimate" or args.estimate:
         for k, v in linker.estimate(left, right, left_id=lid, right_id=rid).items():
             print(f"{k}: {v}")
         return
-    result = linker.link(left, right, left_id=lid, right_id=rid, how=args.how, threshold=args.threshold, min_margin=args.min_margin, budget=_budget(args.budget))
+    result = linker.link(left, right, left_id=lid, right_id=rid, how=args.how, threshold=args.threshold, min_margin=args.min_margin, budget=_budget(args.budget), cache=_cache(spark, args))
+    _keep(result, args)
     _finish(result, result.links, args)
 
 
+def _cache(spark, args) -> DataFrame | None:
+    return read_cache(spark, args.cache) if getattr(args, "cache", None) and not args.no_cache else None
+
+
+def _keep(result, args) -> None:
+    if getattr(args, "cache", None) and not args.no_cache:
+        add_to_cache(result.answers(), args.cache)
+
+
 def _finish(result, main: DataFrame, args) -> None:
     _emit(main, args.output)
     if getattr(args, "scores", None):
@@ -129,6 +146,7 @@ def _finish(result, main: DataFrame, args) -> None:
 
 
 def _resume(spark, args) -> None:
+    safe_outputs([args.left, args.right, args.run], [args.output, args.save])
     run = load(spark, args.run)
     result = run.resume(read_table(spark, args.left), read_table(spark, args.right), judge_with=_judge(args), budget=_budget(args.budget))
     result.save(args.save or args.run.rstrip("/") + "-resumed")
@@ -138,7 +156,8 @@ def _resume(spark, args) -> None:
 def _dedupe(spark, args) -> None:
     safe_outputs([args.table], [args.output, args.scores, args.links, args.report])
     df, key = _id(read_table(spark, args.table), args.id)
-    result = Linker(_judge(args), [column(c) for c in args.on], args.entity, args.define, _rules(args), args.style, args.exact_shortcut, max_pairs=args.max_pairs).dedupe(df, id=key, threshold=args.threshold, linkage=args.linkage, unproposed=args.unproposed, budget=_budget(args.budget))
+    result = Linker(_judge(args, question(args.entity, args.define, args.style)), [column(c) for c in args.on], args.entity, args.define, _rules(args), args.style, args.exact_shortcut, max_pairs=args.max_pairs).dedupe(df, id=key, threshold=args.threshold, linkage=args.linkage, unproposed=args.unproposed, budget=_budget(args.budget), cache=_cache(spark, args))
+    _keep(result, args)
     if args.links:
         write_table(result.links, args.links)
     _finish(result, result.clusters, args)
@@ -149,6 +168,7 @@ def _typed(scores: DataFrame) -> DataFrame:
 
 
 def _cluster(spark, args) -> None:
+    safe_outputs([args.scores, args.records], [args.output, args.links])
     scores = _typed(read_table(spark, args.scores))
     ids = read_table(spark, args.records) if args.records else None
     found = cluster(scores, ids=ids, id=args.id, threshold=args.threshold, linkage=args.linkage, unproposed=args.unproposed, check=True)
@@ -158,17 +178,26 @@ def _cluster(spark, args) -> None:
 
 
 def _audit(spark, args) -> None:
+    safe_outputs([args.scores, args.links, args.left, args.right], [args.output])
     more = {"left": read_table(spark, args.left), "right": read_table(spark, args.right), "on": [column(c, True) for c in args.on], "left_id": args.left_id, "right_id": args.right_id} if args.left else {}
     links = read_table(spark, args.links) if args.links else None
     write_table(audit_sample(_typed(read_table(spark, args.scores)), n=args.n, seed=args.seed, links=links, **more), args.output, safe=True)
 
 
 def _evaluate(spark, args) -> None:
-    found = evaluate(_typed(read_table(spark, args.labeled)), threshold=args.threshold, mode=args.mode)
+    labels = _typed(read_table(spark, args.labeled))
+    if args.labeled.lower().endswith(".dta"):
+        # Stata keeps the bins' names as labels of codes
+        names = {str(k): str(v) for k, v in stata_value_labels(args.labeled, "bin").items()}
+        if names:
+            code = F.regexp_replace(F.col("bin").cast("string"), r"\.0$", "")
+            labels = labels.withColumn("bin", F.coalesce(*[F.when(code == k, F.lit(v)) for k, v in names.items()], code))
+    found = evaluate(labels, threshold=args.threshold, mode=args.mode)
     print(found.to_markdown() if args.markdown else found.summary())
 
 
 def _review(spark, args) -> None:
+    safe_outputs([args.source, args.left, args.right], [args.output])
     if args.action == "create":
         create_review(load(spark, args.source), left=read_table(spark, args.left), right=read_table(spark, args.right)).save(args.output)
     elif args.action == "page":
@@ -189,6 +218,11 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--define", default="", help="the match rule in words")
         p.add_argument("--style", choices=("identity", "rule"), default="identity")
         p.add_argument("--judge", default="sim", help="SQL expression of the probability over sim, a_record, b_record")
+        p.add_argument("--api", help="address of a model to ask instead of --judge")
+        p.add_argument("--model", default="model", help="the model's name")
+        p.add_argument("-j", "--jobs", type=int, default=32, help="questions in flight a task")
+        p.add_argument("--cache", help="folder that keeps answers for later runs")
+        p.add_argument("--no-cache", action="store_true")
         p.add_argument("--budget", default="none")
         p.add_argument("--max-pairs", type=int, default=5_000_000)
         p.add_argument("--exact-shortcut", action="store_true")

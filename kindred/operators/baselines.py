@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from kindred.fields import parse_on
 from kindred.functions.text import jaro_winkler, normalize, record_text
+from kindred.operators.audit import BINS, bin_of, score_against_truth
 from kindred.operators.components import connected_components
 from kindred.operators.grid import WinklerIndex, over_cells
 from kindred.operators.resolve import probability, resolve
@@ -236,6 +237,38 @@ def judge_agreement(a: DataFrame, b: DataFrame, threshold: float = 0.5) -> DataF
     return g.select("both_yes", "only_a", "only_b", "both_no", agree.alias("agreement"), F.when(chance < 1, (agree - chance) / (1 - chance)).alias("kappa"), "spearman")
 
 
+def abstention(links: DataFrame, unmatched: DataFrame) -> DataFrame:
+    """(side, records, false_linked, correct_abstention_rate): of the records known to have no counterpart, (side, id), how many were linked
+    all the same. A side without such records has no row."""
+    used = links.select(F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_id").cast("string").alias("id")) for s in ("left", "right")])).alias("x")).select("x.*").distinct().withColumn("_l", F.lit(1))
+    known = unmatched.select("side", F.col("id").cast("string").alias("id")).distinct().join(used, ["side", "id"], "left")
+    by = known.groupBy("side").agg(F.count(F.lit(1)).alias("records"), F.count("_l").alias("false_linked"))
+    return by.withColumn("correct_abstention_rate", 1 - F.col("false_linked") / F.col("records"))
+
+
+def pair_metrics(links: DataFrame, truth: DataFrame, complete: bool = True) -> DataFrame:
+    """One row: found pairs against true ones. An incomplete truth lists some true pairs only, so nothing can be called wrong: fp,
+    precision and f1 are null then."""
+    got = score_against_truth(links, truth, empty=0.0)
+    return got if complete else got.select("tp", F.lit(None).cast("long").alias("fp"), "fn", *[(F.col(c) if c == "recall" else F.lit(None).cast("double")).alias(c) for c in ("precision", "recall", "f1")])
+
+
+def plain_calibration(labels: DataFrame, gold: str, edges: tuple[float, ...] = BINS) -> DataFrame:
+    """(bin, n, mean_p, match_rate): how often pairs of each bin of p are true, every pair counting once."""
+    rows = labels.where(probability(F.col("p")).isNotNull()).groupBy(bin_of(F.col("p"), edges).alias("bin"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_p"), F.avg(F.col(gold).cast("int")).alias("match_rate"))
+
+
+def family_choice(runs: DataFrame, last: tuple[str, ...] = ()) -> DataFrame:
+    """(family, variant, dev_f1, test_low, test_high, tied) of each family's best variant on dev. runs has (family, variant, dev_f1, test_f1);
+    scores within 1e-9 are tied, ties go to names without a part of ``last``, then to the first name; the range is of all tied ones."""
+    w = Window.partitionBy("family")
+    late = F.greatest(F.lit(0), *[F.col("variant").contains(x).cast("int") for x in last]) if last else F.lit(0)
+    tied = runs.withColumn("_m", F.max("dev_f1").over(w)).where(F.abs(F.col("dev_f1") - F.col("_m")) < 1e-9)
+    first = F.min(F.struct(late.alias("late"), "variant", "dev_f1")).alias("x")
+    return tied.groupBy("family").agg(first, F.min("test_f1").alias("test_low"), F.max("test_f1").alias("test_high"), F.count(F.lit(1)).alias("tied")).select("family", "x.variant", "x.dev_f1", "test_low", "test_high", "tied")
+
+
 def diagnose(candidates: DataFrame, links: DataFrame, truth: DataFrame) -> DataFrame:
     """(kind, left_id, right_id) of every error: retrieval_miss, false_negative, false_positive."""
     pair = ["left_id", "right_id"]

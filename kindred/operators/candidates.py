@@ -5,7 +5,6 @@ from __future__ import annotations
 import warnings
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +12,7 @@ from kindred.fields import check_columns, check_ids, parse_on, side_fields
 from kindred.functions.text import record_text
 from kindred.operators.passes import Exact, NGrams, Pass, Within, default_passes, ngrams
 from kindred.operators.vectors import packed_cosines, vectors
+from kindred.scratch import Scratch
 from kindred.skew import lookup
 
 SIM_GRAMS = (2, 4)
@@ -63,7 +63,7 @@ class Candidates:
                 if bad:
                     warnings.warn(f"pass {p.name!r} could not read {' and '.join(bad)} as {lost['kind']}; these records take no part in it", stacklevel=2)
             if not entry["proposed_pairs"] and isinstance(p, (Exact, Within)):
-                warnings.warn(f"pass {p.name!r} found nothing: no complete key occurs on both sides", stacklevel=2)
+                warnings.warn(f"pass {p.name!r} found nothing: no complete key occurs on both sides ({_examples(p, self.left, self.right)})", stacklevel=2)
             out.append(entry)
         return {"schema_version": 1, "max_pairs": self.max_pairs, "pair_count": out[-1]["union_pairs"] if out else 0, "passes": out, "unordered": self.unordered}
 
@@ -80,12 +80,37 @@ def pair_similarity(pairs: DataFrame, left: DataFrame, right: DataFrame, left_co
     return texts.join(sims, ["lt", "rt"], "left").withColumn("sim", F.coalesce("sim", F.lit(0.0))).drop("lt", "rt")
 
 
+def _known(p: Pass, pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """The pairs of a pass; those of an own pass are checked first: two columns l and r, no missing and no unknown IDs."""
+    if type(p).__module__ == Pass.__module__:
+        return pairs
+    if set(pairs.columns) != {"l", "r"}:
+        raise ValueError(f"pass {p.name!r} returns the columns l and r, not {pairs.columns}")
+    pairs = Scratch(left.sparkSession, "pass").cut(pairs.select("l", "r").distinct())
+    for side, df in (("l", left), ("r", right)):
+        strange = pairs.select(side).distinct().join(df.select(F.col("_id").alias(side)), side, "left_anti")  # a null is in no table
+        some = [r[0] for r in strange.limit(3).collect()]
+        if some:
+            raise ValueError(f"pass {p.name!r} proposes records that the {'left' if side == 'l' else 'right'} table lacks: {some}")
+    return pairs
+
+
+def _examples(p: Pass, left: DataFrame, right: DataFrame) -> str:
+    """Some complete keys of either side, to show why none meet."""
+    shown = []
+    for name, df in zip(("left", "right"), p.keys(left, right)):
+        made = [c for c in df.columns if c[:2] in ("_e", "_g") and c[2:].isdigit()]
+        some = [" / ".join(r) for r in df.select(*made).distinct().limit(3).collect()]
+        shown.append(f"{name} keys such as {', '.join(map(repr, some))}" if some else f"no complete key in the {name} table")
+    return "; ".join(shown)
+
+
 def _union(left: DataFrame, right: DataFrame, passes: list[Pass], a: list[str], b: list[str], max_pairs: int | None, unordered: bool, with_sim: bool = True) -> Candidates:
     if not isinstance(passes, list) or any(not isinstance(p, Pass) for p in passes):
         raise ValueError("`blockers` must be a list of blocking passes")
     if max_pairs is not None and (isinstance(max_pairs, bool) or not isinstance(max_pairs, int) or max_pairs < 0):
         raise ValueError("`max_pairs` is a whole number or None")
-    proposals, marked = [p.pairs(left, right) for p in passes], None
+    proposals, marked = [_known(p, p.pairs(left, right), left, right) for p in passes], None
     for i, p in enumerate(proposals):
         one = p.select("l", "r", F.lit(1 << i).cast("long").alias("bit"))
         marked = one if marked is None else marked.unionByName(one)
@@ -95,7 +120,7 @@ def _union(left: DataFrame, right: DataFrame, passes: list[Pass], a: list[str],
     names = [F.when(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0, F.lit(p.name)) for i, p in enumerate(passes)]
     frame = masks.select("l", "r", F.concat_ws("+", *names).alias("block"))
     if max_pairs is not None:
-        masks = masks.persist(StorageLevel.DISK_ONLY)
+        masks = Scratch(left.sparkSession, "union").cut(masks)
         found = masks.limit(max_pairs + 1).count()
         if found > max_pairs:
             raise ValueError(f"the passes propose more than max_pairs={max_pairs:,} pairs; lower `k` or run a broad pass within a key")
@@ -106,7 +131,7 @@ def _union(left: DataFrame, right: DataFrame, passes: list[Pass], a: list[str],
     return Candidates(frame, masks, passes, proposals, max_pairs, left, right, unordered)
 
 
-def candidates(left: DataFrame, right: DataFrame, *, on, blockers: list[Pass] | None = None, left_id: str, right_id: str, max_pairs: int | None = None, check: bool = False, with_sim: bool = True) -> Candidates:
+def candidates(left: DataFrame, right: DataFrame, *, on, blockers: list[Pass] | None = None, left_id: str, right_id: str, max_pairs: int | None = None, check: bool = True, with_sim: bool = True) -> Candidates:
     """The distinct pairs that the passes propose between two tables, the passes' names joined by + and the records' similarity.
 
     Without passes, the ten nearest by n-grams in either direction. ``max_pairs`` raises when the union is larger. Rows with a null ID
@@ -127,7 +152,7 @@ def candidates(left: DataFrame, right: DataFrame, *, on, blockers: list[Pass] |
     return _union(left, right, blockers, a, b, max_pairs, False, with_sim)
 
 
-def self_candidates(df: DataFrame, *, on, blockers: list[Pass] | None = None, id: str, max_pairs: int | None = None, check: bool = False, with_sim: bool = True) -> Candidates:
+def self_candidates(df: DataFrame, *, on, blockers: list[Pass] | None = None, id: str, max_pairs: int | None = None, check: bool = True, with_sim: bool = True) -> Candidates:
     """Pairs within one table: never a record with itself, each unordered pair once with the smaller ID first. Statistics count
     the table on both sides. The default pass takes eleven neighbours, as a record is its own nearest."""
     fields = parse_on(on)

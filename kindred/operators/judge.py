@@ -137,6 +137,60 @@ class HttpJudge:
         return asked.mapInPandas(run, "state string, _p double, _e string")
 
 
+class JsonTransport:
+    """POSTs {model, record_a, record_b, question} to an address and reads ``field`` of the JSON answer as the probability.
+
+    A busy or failing server (429, 5xx, no connection) is asked again ``retries`` times, waiting longer each time, or as long as it
+    asks for. A refused key or missing credit (401, 402, 403) ends the job; any other refusal is the pair's error. The key comes from
+    the environment variable named ``key_env`` of the executor, never from the plan."""
+
+    def __init__(self, url: str, model: str, field: str = "p", key_env: str = "JUDGE_API_KEY", retries: int = 4, timeout: float = 60.0, wait: float = 0.5):
+        self.url, self.model, self.field, self.key_env, self.retries, self.timeout, self.wait = url, model, field, key_env, retries, timeout, wait
+
+    def __call__(self, body: dict) -> float:
+        import os
+        import time
+        import urllib.error
+        import urllib.request
+
+        head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {os.environ[self.key_env]}"} if os.environ.get(self.key_env) else {})
+        data = json.dumps({"model": self.model} | body).encode()
+        for turn in range(self.retries + 1):
+            pause = self.wait * 2**turn
+            try:
+                with urllib.request.urlopen(urllib.request.Request(self.url, data, head), timeout=self.timeout) as answer:
+                    p = float(json.load(answer)[self.field])
+                if not 0 <= p <= 1:
+                    raise ValueError(f"the answer {p!r} is no probability")
+                return p
+            except urllib.error.HTTPError as error:
+                if error.code in (401, 402, 403):
+                    raise FatalError(f"{self.url} refuses: {error}") from None
+                if error.code != 429 and error.code < 500 or turn == self.retries:
+                    raise
+                asked = error.headers.get("Retry-After", "")
+                pause = max(pause, float(asked)) if asked.isdigit() else pause
+            except (urllib.error.URLError, TimeoutError):
+                if turn == self.retries:
+                    raise
+            time.sleep(pause)
+        raise AssertionError("not reached")
+
+
+def read_cache(spark, path: str) -> DataFrame | None:
+    """The answers kept under a path, None if there are none yet."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.parquet(path) if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p) else None
+
+
+def add_to_cache(found: DataFrame, path: str) -> None:
+    """Append answers to the cache; when a state was answered twice, the first one met holds for later runs."""
+    known = read_cache(found.sparkSession, path)
+    new = found if known is None else found.join(known.select("state"), "state", "left_anti")
+    new.write.mode("append").parquet(path)
+
+
 def judge(candidates: DataFrame, left: DataFrame, right: DataFrame, judge, *, on, left_id: str, right_id: str, entity: str | None = None, definition: str = "", style: str = "identity", budget: float | None = 5.0, price: float = 0.0, cache: DataFrame | None = None, exact_shortcut: bool = False, scratch: Scratch | None = None) -> DataFrame:
     """Scores: candidates with p, source (exact, jev, error, unjudged), error, model, provider, score_origin and answered_at.
 

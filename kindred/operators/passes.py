@@ -248,7 +248,10 @@ class Window(Pass):
         b = right.select(F.col("_id").alias("r"), y.alias("y"), *g).where("y is not null")
         if low > high:
             return a.crossJoin(b.limit(0)).select("l", "r")
-        start, stop = F.col("x") - F.lit(high), F.col("x") - F.lit(low)
+        start, stop = (F.col("x") - F.lit(b) for b in (high, low))
+        if self.unit:  # microseconds stay within 64 bits: a bound beyond them is their end
+            ends = [F.lit(-(2**63) if b > 0 else 2**63 - 1) for b in (high, low)]
+            start, stop = (F.coalesce(F.try_subtract(F.col("x"), F.lit(b)), e) for b, e in zip((high, low), ends))
         exact = (F.col("y") >= start) & (F.col("y") <= stop)
         width = high - low
         if width == 0 and self.unit is None:

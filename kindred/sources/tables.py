@@ -19,9 +19,10 @@ def _suffix(path: str) -> str:
     return s
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
+def read_table(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """A table by its suffix. In delimited text every value is a string and only the empty cell is missing: NA, NULL and nan are values.
-    Stata files are read on the driver, codes without their labels."""
+    Stata files are read on the driver, codes without their labels. Cells with line breaks need ``multiline``, which makes every file of
+    delimited text one task; without it large files are split."""
     s = _suffix(path)
     if s == ".parquet":
         return spark.read.parquet(str(path))
@@ -30,7 +31,7 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
         frame = pd.read_stata(path, convert_categoricals=False)
         return spark.createDataFrame(frame.astype(object).where(frame.notna(), None)) if len(frame) else spark.createDataFrame([], ", ".join(f"`{c}` string" for c in frame.columns))
-    return spark.read.csv(str(path), header=True, inferSchema=False, sep="," if s == ".csv" else "\t", nullValue="", emptyValue="", quote='"', escape='"', multiLine=True, encoding="UTF-8")
+    return spark.read.csv(str(path), header=True, inferSchema=False, sep="," if s == ".csv" else "\t", nullValue="", emptyValue="", quote='"', escape='"', lineSep="\n", multiLine=multiline, encoding="UTF-8")
 
 
 def stata_value_labels(path: str, column: str) -> dict:
@@ -63,7 +64,7 @@ def write_table(df: DataFrame, path: str, single: bool = True, safe: bool = Fals
             for row in df.toLocalIterator():
                 out.writerow(["" if v is None else v for v in row])
     else:
-        df.write.mode("overwrite").csv(str(path), header=True, sep="," if s == ".csv" else "\t", nullValue="", emptyValue="", quote='"', escape='"')
+        df.write.mode("overwrite").csv(str(path), header=True, sep="," if s == ".csv" else "\t", nullValue="", emptyValue="", quote='"', escape='"', lineSep="\n", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_stata(df: DataFrame, path: str) -> None:
