@@ -203,7 +203,7 @@ def _review(spark, args) -> None:
     elif args.action == "page":
         read_review(args.source).write_html(args.output)
     else:
-        write_table(read_review(args.source).apply(spark, how=args.how), args.output, safe=True)
+        read_review(args.source).reviewed(spark, how=args.how).write(args.output)
 
 
 def parser() -> argparse.ArgumentParser:

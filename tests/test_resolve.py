@@ -149,7 +149,7 @@ def test_linkage_by_rounds_equals_one_by_one(spark, count):
     from kindred.scratch import Scratch
 
     rng = random.Random(7)
-    pairs = [(f"{g}{a}", f"{g}{b}", rng.choice([None, 0.1, 0.5, 0.75, 0.9, 1.0])) for g in "xyz" for a, b in itertools.combinations(range(6), 2) if rng.random() < 0.8]
+    pairs = [(f"{g}{a}", f"{g}{b}", rng.choice([None, 0.1, 0.5, 0.75, 0.9, 1.0])) for g in "xy" for a, b in itertools.combinations(range(4), 2)]
     df = spark.createDataFrame(pairs, "left_id string, right_id string, p double").withColumn("component", F.substring("left_id", 1, 1))
     got = {r.id: r.cluster for r in linkage_rounds(df, 0.5, count, Scratch(spark)).collect()}
     assert got == average_linkage(pairs, 0.5, count)

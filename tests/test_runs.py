@@ -167,3 +167,68 @@ def test_core_stands_alone():
     for f in root.rglob("*.py"):
         if "llm" not in f.relative_to(root).parts:
             assert "kindred.llm" not in f.read_text(), f
+
+
+def test_own_pass_is_checked(spark):
+    from kindred.operators.candidates import candidates
+    from kindred.operators.passes import Pass
+
+    class Odd(Pass):
+        name = "odd"
+
+        def __init__(self, rows):
+            self.rows = rows
+
+        def pairs(self, left, right, groups=()):
+            return spark.createDataFrame(self.rows, "l string, r string")
+
+    t = spark.createDataFrame([("a", "x"), ("b", "y")], "id string, n string")
+    run = lambda rows: candidates(t, t, on=["n"], blockers=[Odd(rows)], left_id="id", right_id="id", with_sim=False).frame.collect()
+    assert [(r.left_id, r.right_id) for r in run([("a", "b"), ("a", "b")])] == [("a", "b")]
+    for bad in ([("a", "q")], [(None, "b")], [("a", None)]):
+        with pytest.raises(ValueError, match="lacks"):
+            run(bad)
+
+
+def test_transport_asks_again_and_gives_up():
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from kindred.operators.judge import FatalError, JsonTransport
+
+    codes = [503, 429, 200, 400, 401]
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            assert body["model"] == "m" and body["question"] == "q"
+            self.send_response(codes.pop(0))
+            self.end_headers()
+            self.wfile.write(json.dumps({"p": 0.25}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    ask = JsonTransport(f"http://127.0.0.1:{server.server_port}", "m", wait=0.01)
+    try:
+        assert ask({"question": "q"}) == 0.25
+        with pytest.raises(OSError):
+            ask({"question": "q"})
+        with pytest.raises(FatalError):
+            ask({"question": "q"})
+    finally:
+        server.shutdown()
+
+
+def test_answers_are_kept(spark, tmp_path):
+    from kindred.operators.judge import add_to_cache, read_cache
+
+    path = str(tmp_path / "answers")
+    assert read_cache(spark, path) is None
+    one = spark.createDataFrame([("s", 0.5, 1.0)], "state string, p double, answered_at double")
+    add_to_cache(one, path)
+    add_to_cache(one.union(spark.createDataFrame([("t", 0.7, 2.0)], one.schema)), path)
+    assert sorted(r.state for r in read_cache(spark, path).collect()) == ["s", "t"]
