@@ -110,6 +110,36 @@ def test_names_without_places(spark):
     assert {(r.left_id, r.right_id) for r in link(both, "l", "r", Scratch(spark)).collect()} == {("p1", "R1")}
 
 
+def wharves():
+    """Six firms that make a trade generic, and one firm's spellings with it, misspelt, run together and without it."""
+    rng = random.Random(9)
+    stems = ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(4)) for _ in range(12)]
+    rows = [(f"b{60 + i}", f"{stems[i].title()} Wharfage Inc", "AL", CITIES[i], 1900 + i) for i in range(6)]
+    rows += [(f"b{70 + i}", f"{stems[6 + i].title()} Quarry Inc", "AL", CITIES[6 + i], 1900 + i) for i in range(6)]
+    names = ["Zorabelix Wharfage Inc", "ZORABELIX INC", "Zorabelix Wharfag", "Zorabelixwharfage Corp", "Zorabelixquarrywharfage"]
+    return rows + [(f"v{i}", n, "NY", "Alphamoville", 1950) for i, n in enumerate(names)] + [(f"w{i}", "Quarry Steel Inc", "NY", "Gammativille", 1950) for i in range(2)]
+
+
+PADDING = 160_000  # rows that name nobody: more of them make a word of a few places rare
+
+
+def padded(spark, df, table):
+    return df.unionByName(spark.range(PADDING).selectExpr(f"'{table}' AS tab", "concat('x', id) AS id", "'N/A' AS name", "string(null) AS city", "string(null) AS st", "int(null) AS year"))
+
+
+def test_a_trade_is_generic_for_links_too(spark):
+    schema = "k string, n string, state string, city string, year int"
+    left = profiles(spark.createDataFrame(firms() + wharves()[:13], schema), "l", "k", "n")
+    right = profiles(spark.createDataFrame([(f"R{i}", n, "NY", "Alphamoville", 1950) for i, n in enumerate(["Zorabelix", "ZORABELIX WHARFAGE CORP", "Zorabelix Steel Corp"])], schema), "r", "k", "n")
+    rows = padded(spark, left.unionByName(right), "l")
+    assert {(r.left_id, r.right_id) for r in link(rows, "l", "r", Scratch(spark)).collect()} >= {("v0", "R0"), ("v0", "R1")}
+
+
+def test_cut_off_generic_words_stay_whole():
+    assert Generics(["verfahrenstechnik", "verfah", "steel"]).parts("Glabrizason Verfahrenste") == (["glabrizason", "verfahrenste"], [])
+    assert Generics(["verfah", "steel"]).parts("Glabrizasonsteel") == (["glabrizason"], ["steel"])
+
+
 def test_linkage(spark):
     left = firms() + [("L1", "Zorabelix Steel Inc", "NY", "Alphamoville", 1950), ("L2", "Vugaromin Glass Co", "CA", "Bravoruville", None), ("L3", None, "CA", "Bravoruville", 1900)]
     right = [(i.replace("b", "r"), n.upper().replace("INC", "INCORPORATED"), s, c, y) for i, n, s, c, y in firms()[:40]] + [("R1", "zorabelix steel", None, "Alphamoville", 1951), ("R2", "Zorabelix Marine", "NY", "Alphamoville", 1950), ("R3", "Vugaromin Glass", "TX", "Deltativille", 1999)]
