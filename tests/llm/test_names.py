@@ -127,6 +127,15 @@ def padded(spark, df, table):
     return df.unionByName(spark.range(PADDING).selectExpr(f"'{table}' AS tab", "concat('x', id) AS id", "'N/A' AS name", "string(null) AS city", "string(null) AS st", "int(null) AS year"))
 
 
+def test_a_trade_is_generic_however_large_the_table(spark):
+    df = spark.createDataFrame(firms() + wharves(), "k string, n string, state string, city string, year int")
+    rows = profiles(df, "t", "k", "n")
+    found = lambda x: {p for p in map(tuple, variants(same_entity(x, Scratch(spark))).collect()) if p[0][0] in "vw"}
+    want = {(f"v{i}", f"v{j}") for j in range(5) for i in range(j)}
+    assert found(rows) == want  # the name of two generic words is nobody's here
+    assert found(padded(spark, rows, "t")) == want | {("w0", "w1")}  # but not where one of them is rare
+
+
 def test_a_trade_is_generic_for_links_too(spark):
     schema = "k string, n string, state string, city string, year int"
     left = profiles(spark.createDataFrame(firms() + wharves()[:13], schema), "l", "k", "n")
