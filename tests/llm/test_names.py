@@ -136,6 +136,15 @@ def test_a_trade_is_generic_however_large_the_table(spark):
     assert found(padded(spark, rows, "t")) == want | {("w0", "w1")}  # but not where one of them is rare
 
 
+def test_a_rare_misspelling_of_a_trade_stands_for_others(spark):
+    own = ["Gadupolex", "Tisorafim", "Lunepador", "Kefirosat", "Bomalunik", "Rosetupal"]
+    rows = firms() + [(f"b{60 + i}", f"{x} Marne Inc", "AL", CITIES[i], 1900 + i) for i, x in enumerate(own)]  # a misspelt trade in six places
+    rows += [(f"v{i}", n, "NY", "Alphamoville", 1950) for i, n in enumerate(["Zorabelix Marine Inc", "Zorabelix Marnie Inc", "Zorabelix Inc"])]
+    df = profiles(spark.createDataFrame(rows, "k string, n string, state string, city string, year int"), "t", "k", "n")
+    for table in (df, padded(spark, df, "t")):
+        assert {p for p in map(tuple, variants(same_entity(table, Scratch(spark))).collect()) if p[0][0] == "v"} == {("v0", "v1"), ("v0", "v2"), ("v1", "v2")}
+
+
 def test_a_trade_is_generic_for_links_too(spark):
     schema = "k string, n string, state string, city string, year int"
     left = profiles(spark.createDataFrame(firms() + wharves()[:13], schema), "l", "k", "n")
