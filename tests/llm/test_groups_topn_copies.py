@@ -33,6 +33,19 @@ def test_components_chain_star_and_random(spark):
     assert components(df.limit(0), "a", "b").count() == 0
 
 
+def test_plans_of_components_stay_small_and_hubs_are_salted(spark):
+    edges = spark.range(3000).selectExpr("'hub' AS a", "concat('s', id) AS b").unionByName(spark.range(40).selectExpr("concat('t', id) AS a", "concat('t', id + 1) AS b"))
+    found = components(edges, "a", "b")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 2  # each plan is held by the driver
+    assert {r.root: r["count"] for r in found.groupBy("root").count().collect()} == {"hub": 3001, "t0": 41}
+    from kindred.skew import lookup_counted
+
+    table = edges.select("a").distinct().withColumn("v", F.length("a"))
+    met = lookup_counted(edges, table, "a", "b")
+    assert "_salt" in met._jdf.queryExecution().analyzed().toString()
+    assert met.exceptAll(edges.join(table, "a")).isEmpty() and met.count() == 3040
+
+
 def test_group_ids(spark):
     s = spark.createDataFrame([("1", "A", 0.5, "x"), ("1", "A", float("nan"), "x"), ("2", "A", 0.4, "x"), ("2", "B", None, "x"), ("3", "C", float("nan"), "x"), (None, "D", 0.9, "x")], "left_id string, right_id string, p double, cluster_id string")
     m = spark.createDataFrame([("A", 7, 1), ("E", 7, 2), ("E", 7, 2), ("F", 8, 3), ("G", None, 4), (None, 7, 5)], "id string, cluster_id long, p long")
