@@ -46,6 +46,19 @@ def test_plans_of_components_stay_small_and_hubs_are_salted(spark):
     assert met.exceptAll(edges.join(table, "a")).isEmpty() and met.count() == 3040
 
 
+def test_loops_of_components_count_rows_once(spark):
+    from kindred.scratch import Scratch
+
+    edges = Scratch(spark).cut(spark.range(40).selectExpr("concat('t', id) AS a", "concat('t', id + 1) AS b"))
+    tables = Scratch(spark)
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    components(edges, "a", "b", tables).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    # a table takes a write, and a count or a look whether anything is left
+    assert store.executionsCount() - before <= 2 * tables._n + 2
+
+
 def test_group_ids(spark):
     s = spark.createDataFrame([("1", "A", 0.5, "x"), ("1", "A", float("nan"), "x"), ("2", "A", 0.4, "x"), ("2", "B", None, "x"), ("3", "C", float("nan"), "x"), (None, "D", 0.9, "x")], "left_id string, right_id string, p double, cluster_id string")
     m = spark.createDataFrame([("A", 7, 1), ("E", 7, 2), ("E", 7, 2), ("F", 8, 3), ("G", None, 4), (None, 7, 5)], "id string, cluster_id long, p long")

@@ -90,6 +90,14 @@ def test_variants(spark):
     assert variants(same_entity(profiles(df.limit(0), "t", "k", "n"), Scratch(spark))).count() == 0
 
 
+def test_plans_of_variants_stay_small(spark):
+    size = lambda df, what: df._jdf.queryExecution().optimizedPlan().toString().count(what)
+    words = spark.createDataFrame([(f"gado{x}{y}lex",) for x in "bdfgklm" for y in "aeiou"], "s string")
+    assert size(radius_join(words, "s"), "levenshtein(") == 2 and size(prefixes(words, "s"), "Join ") == 1  # each plan is held by the driver
+    df = profiles(spark.createDataFrame(firms()[:20], "k string, n string, state string, city string, year int"), "t", "k", "n")
+    assert size(variants(same_entity(df, Scratch(spark))), "Relation [") <= 4
+
+
 def test_short_names(spark):
     names = {"f": ["Ford Co", "FORD COMPANY"], "i": ["IBM Corp", "I.B.M."], "m": ["3M", "3M Co"], "k": ["Kim Lee", "LEE, Kim"], "t": ["東芝", "東芝"], "z": ["Zora", "Zorabelix Inc"], "n": ["N/A", "NA"], "d": ["Dell Inc"], "b": ["Bell Inc"]}
     rows = firms() + [(f"{k}{j}", n, "NY", "Alphamoville", 1950) for k, ns in names.items() for j, n in enumerate(ns)]
