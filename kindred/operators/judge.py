@@ -17,7 +17,7 @@ from kindred.functions.text import clean, normalize
 from kindred.operators.resolve import probability
 from kindred.ranking import running_sum
 from kindred.scratch import Scratch
-from kindred.skew import lookup
+from kindred.skew import lookup_counted
 
 # How saved scores name where a probability came from; "jev" is a judge's answer.
 SOURCES = ("exact", "jev", "error", "unjudged")
@@ -69,7 +69,9 @@ def states(candidates: DataFrame, left: DataFrame, right: DataFrame, on, left_id
     check_columns(left, [left_id, *(c for _, c in side_fields(fields, "left"))], "left")
     check_columns(right, [right_id, *(c for _, c in side_fields(fields, "right"))], "right")
     a, b = records(left, left_id, side_fields(fields, "left"), "left_id", "a"), records(right, right_id, side_fields(fields, "right"), "right_id", "b")
-    met = lookup(lookup(candidates, a, "left_id", "right_id"), b, "right_id", "left_id")
+    candidates = Scratch(candidates.sparkSession, "states").kept(candidates)
+    total = candidates.count()
+    met = lookup_counted(lookup_counted(candidates, a, "left_id", "right_id", total=total), b, "right_id", "left_id", counted=candidates, total=total)
     return met.withColumn("state", F.sha2(F.concat_ws("\x1e", F.lit(provider), F.lit(model), F.lit(ask), "a_record", "b_record"), 256))
 
 

@@ -5,8 +5,11 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
+from kindred.operators.candidates import candidates
 from kindred.operators.cluster import average_linkage, cluster
 from kindred.operators.components import connected_components
+from kindred.operators.judge import states
+from kindred.operators.passes import exact, ngrams
 from kindred.operators.resolve import _greedy, match_component, resolve, with_margin
 from kindred.operators.review import apply_decisions, check_history, review_queue
 
@@ -184,3 +187,14 @@ def test_plans_stay_small(spark, tmp_path):
     got = apply_decisions(s, d, how="many-to-one", original=s.select("left_id", "right_id"))
     assert sources(got) <= 24 and linked(got) == [("a", "x"), ("b", "x")]
     assert with_margin(s.withColumn("none", F.lit(None))).columns == [*s.columns, "none", "margin"]
+
+
+def test_plans_of_pairs_stay_small(spark, tmp_path):
+    scores(spark, [("a", "x", 0.9, 0.5), ("b", "x", 0.7, 0.5)]).write.parquet(str(tmp_path / "s"))
+    s = spark.read.parquet(str(tmp_path / "s")).groupBy("left_id", "right_id").agg(F.max("sim").alias("sim"))
+    left = spark.createDataFrame([("a", "Acme"), ("b", "Best")], "i string, n string")
+    right = spark.createDataFrame([("x", "Acme"), ("y", "Beta")], "j string, n string")
+    c = candidates(left, right, on=["n"], blockers=[exact("n"), ngrams("n", k=1)], left_id="i", right_id="j").frame
+    assert sources(c) <= 24 and ("a", "x") in linked(c)
+    asked = states(s, left, right, ["n"], "i", "j", "?")
+    assert sources(asked) <= 2 and len(asked.collect()) == 2
