@@ -103,3 +103,15 @@ def test_agreement_names_and_negatives(spark):
     assert {x.k: (x.canonical, x.aliases) for x in B.canonical_names(n, "k", "n").collect()} == {"k": ("B", "A | B"), "j": ("x", "x | y")}
     s = spark.createDataFrame([("a", "t", 0.9), ("a", "u", 0.8), ("a", "v", 0.8), ("b", "u", 0.9)], "left_id string, right_id string, sim double")
     assert [(x.right_id, x["rank"]) for x in B.hardest_negatives(s, pairs(spark, [("a", "t")]), 1).collect()] == [("u", 1)]
+
+
+def test_more_labels_than_the_driver_takes(spark):
+    rng = np.random.default_rng(1)
+    rows = [(float(p), "yes" if rng.random() < p else "no", 1.0 + i % 7 * even, "low" if p < 0.5 else "high", f"{i}") for even in (0, 1) for i, p in enumerate(rng.random(400).tolist())]
+    df = spark.createDataFrame([(*r[:4], f"{i}", f"{i}") for i, r in enumerate(rows)], "p double, is_match string, weight double, bin string, left_id string, right_id string")
+    near, far = A.evaluate(df, n_boot=400), A.evaluate(df.repartition(7), n_boot=400, most=100)
+    assert far.n_labeled == 800 and not far.notes
+    for name in ("precision", "recall", "f1"):
+        assert np.allclose(getattr(near, name), getattr(far, name), atol=0.012)
+    small, again = (A.wide_bootstrap(d, 0.5, "threshold", 50, 3, chunk=40) for d in (df, df.orderBy("p")))
+    assert np.allclose(small, again, atol=1e-9) and small.shape == (50, 3) and small.std(0).min() > 0.003
